@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.plans import curation, landmarks, metrics, parsing  # noqa: F401
+from plumbline.plans import curation, landmarks, metrics, parsing, relational  # noqa: F401
 from plumbline.plans.base import ORACLES, QUERIES, Query
 
 
