@@ -72,6 +72,7 @@ class PrefixCounts:
         self.pairs: dict[tuple[bytes, bytes], bool] = {}
         self.units: dict[str, bytes] = {}
         self.totals: dict[str, int] = {}
+        self._prefix: tuple[bytes, list[bytes], list[int]] = (b"", [b""], [0])
 
     def _merge(self, data: bytes) -> list[bytes]:
         parts = [data[i : i + 1] for i in range(len(data))]
@@ -92,21 +93,31 @@ class PrefixCounts:
         return got
 
     def _piece(self, data: bytes) -> list[int]:
-        """Token counts of the prefixes of a piece, by bytes; the first is of the empty prefix."""
+        """Token counts of the prefixes of a piece, by bytes; the first is of the empty prefix.
+
+        Entries of the prefix that the piece shares with the one before it are taken over.
+        """
         tokens, pairs, longest = self.tokens, self.pairs, self.longest
-        last: list[bytes] = [b""]
-        count = [0]
-        for end in range(1, len(data) + 1):
+        before, last, count = self._prefix
+        k = 0
+        for a, b in zip(data, before, strict=False):
+            if a != b:
+                break
+            k += 1
+        last, count = last[: k + 1], count[: k + 1]
+        for end in range(k + 1, len(data) + 1):
             for frm in range(end - longest if end > longest else 0, end):
                 t = data[frm:end]
                 if t in tokens:
                     pair = last[frm], t
-                    if pairs[pair] if pair in pairs else self._stays(*pair):
+                    stays = pairs.get(pair)
+                    if self._stays(*pair) if stays is None else stays:
                         break
             else:
                 raise ValueError("the vocabulary lacks a byte")
             last.append(t)
             count.append(count[frm] + 1)
+        self._prefix = data, last, count
         return count
 
     def _chars(self, piece: str) -> list[int]:
@@ -188,6 +199,46 @@ class PrefixCounts:
                             totals[u] = k
         return n
 
+    def counts(self, batch: list[str], budget: int) -> list[tuple[int, int]]:
+        """Tokens, and code points of the longest prefix within the budget, of each text.
+
+        The new units of a batch are counted in their order, so that each continues the table
+        of the prefix it shares with the one before.
+        """
+        split = [None if any(s in t for s in self.special) else self.split(t) for t in batch]
+        distinct: set[str] = set().union(*(u for u in split if u is not None))
+        if len(distinct) > _MEMO_UNITS:
+            return [(n, len(t) if (n := self.total(t)) <= budget else self.longest_within(t, budget)) for t in batch]
+        totals = self.totals
+        new = distinct - totals.keys()
+        if len(totals) + len(new) > _MEMO_UNITS:
+            self.units.clear()
+            totals.clear()
+            new = distinct
+        for u in sorted(new):
+            totals[u] = self._of(u)[-1]
+        out = []
+        for t, units in zip(batch, split, strict=True):
+            n = self.total(t) if units is None else sum(map(totals.__getitem__, units))
+            if n <= budget:
+                out.append((n, len(t)))
+            elif units is None:
+                out.append((n, self.longest_within(t, budget)))
+            else:
+                base = at = 0
+                for u in units:
+                    k = totals[u]
+                    if base + k > budget:
+                        break
+                    base += k
+                    at += len(u)
+                inside = [i for i, k in enumerate(self._of(u), 1) if base + k <= budget]
+                out.append((n, at + (inside[-1] if inside else 0)))
+        for u in new:
+            if len(u) > _MEMO_LENGTH:
+                del totals[u]
+        return out
+
     def walk(self, text: str) -> Iterator[list[int]]:
         """The table in pieces: token counts at the prefixes of each unit, without the units before it."""
         before = ""
@@ -258,13 +309,14 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = LIMIT, with_table
         dp = loaded(tokenizer)
         for b in each_batch(batches):
             ts = [t or "" for t in texts(b)]
-            n = [dp.total(t) for t in ts]
+            counts = dp.counts(ts, limit)
+            n = [x for x, _ in counts]
             cols = [
                 b.column(0),
                 pa.array([len(t.encode()) for t in ts], pa.int64()),
                 pa.array(n, pa.int64()),
                 pa.array([x > limit for x in n], pa.bool_()),
-                pa.array([len(t) if x <= limit else dp.longest_within(t, limit) for t, x in zip(ts, n, strict=True)], pa.int64()),
+                pa.array([x for _, x in counts], pa.int64()),
             ]
             names = ["doc_id", "n_bytes", "n_tokens", "over_limit", "chars_within"]
             if with_table:
