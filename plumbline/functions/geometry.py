@@ -161,3 +161,32 @@ def invert_affine(m: Column) -> dict[str, Column]:
 
 def clip(c: Column, low: Column | float, high: Column | float) -> Column:
     return F.least(F.greatest(c, F.lit(low)), F.lit(high))
+
+
+def hashed_uniform(key: Column, salt: str) -> Column:
+    """A number from 0 to 1 that depends on a key alone: 32 bits of MD5, the same in any engine."""
+    return F.conv(F.substring(F.md5(F.concat(key.cast("string"), F.lit(salt))), 1, 8), 16, 10).cast("double") / 4294967296.0
+
+
+#: Ranges of the augmentation: degrees, scales, shift as a share of the frame, chance of a mirror image (fixed values).
+AUGMENT = {"degrees": 8.0, "low": 0.85, "high": 1.15, "shift": 0.04, "flip": 0.5}
+
+
+def augment(key: Column, x: Column, y: Column) -> tuple[Column, Column]:
+    """A reproducible rotation, scale, shift and reflection of points from 0 to 1 about the centre."""
+    u = lambda salt: hashed_uniform(key, salt)
+    angle = F.radians((2 * u("r") - 1) * AUGMENT["degrees"])
+    scale = AUGMENT["low"] + u("s") * (AUGMENT["high"] - AUGMENT["low"])
+    dx, dy = ((2 * u(k) - 1) * AUGMENT["shift"] for k in ("x", "y"))
+    a, b = (x - 0.5) * scale, (y - 0.5) * scale
+    px, py = a * F.cos(angle) - b * F.sin(angle) + 0.5 + dx, a * F.sin(angle) + b * F.cos(angle) + 0.5 + dy
+    return F.when(u("f") < AUGMENT["flip"], 1 - px).otherwise(px), py
+
+
+def integer_box(x0: Column, y0: Column, x1: Column, y1: Column, share: float, width: int, height: int) -> dict[str, Column]:
+    """A box padded by a share of its long side, grown to whole pixels and clipped to the frame."""
+    pad = share * F.greatest(x1 - x0, y1 - y0)
+    return {
+        "left": F.greatest(F.floor(x0 - pad), F.lit(0)).cast("long"), "top": F.greatest(F.floor(y0 - pad), F.lit(0)).cast("long"),
+        "right": F.least(F.ceil(x1 + pad), F.lit(width)).cast("long"), "bottom": F.least(F.ceil(y1 + pad), F.lit(height)).cast("long"),
+    }

@@ -279,4 +279,4 @@ def ordinal_uid(spark: SparkSession, sf: str) -> DataFrame:
 def chunk_numbers(spark: SparkSession, sf: str) -> DataFrame:
     w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
     o = table(spark, sf, "orders").select("o_custkey", "o_orderkey")
-    return o.withColumn("chunk", F.floor((F.row_number().over(w) - 1) / 4))
+    return o.withColumn("chunk", splits.chunk_number(F.row_number().over(w), 4))

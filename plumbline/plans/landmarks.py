@@ -267,3 +267,26 @@ def normaliser_columns(spark: SparkSession, sf: str) -> DataFrame:
     p = F.col("points")
     axis, diagonal = F.greatest(G.chord(p, 1, 6), F.lit(G.TINY)), F.greatest(G.chord(p, 1, 4), F.lit(G.TINY))
     return packed(spark, sf).select("id", r6(axis).alias("body_axis"), r6(diagonal).alias("diagonal"), r6(axis / diagonal).alias("ratio"))
+
+
+_RND = lambda salt: f"(('0x' || substr(md5(id::VARCHAR || '{salt}'), 1, 8))::BIGINT / 4294967296.0)"
+
+
+@query(
+    f"WITH {LM}, rn AS (SELECT id, canonical_id, x / 8 + 0.5 AS x, y / 8 + 0.5 AS y, radians((2 * {_RND('r')} - 1) * 8) AS a, 0.85 + {_RND('s')} * 0.3 AS s, (2 * {_RND('x')} - 1) * 0.04 AS dx, (2 * {_RND('y')} - 1) * 0.04 AS dy, {_RND('f')} < 0.5 AS flip FROM lm), "
+    "tp AS (SELECT id, canonical_id, flip, (x - 0.5) * s * cos(a) - (y - 0.5) * s * sin(a) + 0.5 + dx AS px, (x - 0.5) * s * sin(a) + (y - 0.5) * s * cos(a) + 0.5 + dy AS py FROM rn) "
+    f"SELECT id, canonical_id, {s6('CASE WHEN flip THEN 1 - px ELSE px END')} AS x, {s6('py')} AS y FROM tp"
+)
+def augmented_points(spark: SparkSession, sf: str) -> DataFrame:
+    x, y = G.augment(F.col("id"), F.col("x") / 8 + 0.5, F.col("y") / 8 + 0.5)
+    return long_points(spark, sf).select("id", "canonical_id", r6(x).alias("x"), r6(y).alias("y"))
+
+
+@query(
+    f"WITH {LM}, {_BOX}, px AS (SELECT id, (x0 / 8 + 0.5) * 640 AS x0, (x1 / 8 + 0.5) * 640 AS x1, (y0 / 8 + 0.5) * 480 AS y0, (y1 / 8 + 0.5) * 480 AS y1 FROM bx), pd AS (SELECT *, 0.08 * greatest(x1 - x0, y1 - y0) AS pad FROM px) "
+    'SELECT id, greatest(floor(x0 - pad), 0)::BIGINT AS "left", greatest(floor(y0 - pad), 0)::BIGINT AS top, least(ceil(x1 + pad), 640)::BIGINT AS "right", least(ceil(y1 + pad), 480)::BIGINT AS bottom FROM pd'
+)
+def padded_crop_box(spark: SparkSession, sf: str) -> DataFrame:
+    b = _box(spark, sf)
+    x0, x1, y0, y1 = ((F.col(c) / 8 + 0.5) * n for c, n in (("x0", 640), ("x1", 640), ("y0", 480), ("y1", 480)))
+    return b.select("id", *[c.alias(k) for k, c in G.integer_box(x0, y0, x1, y1, 0.08, 640, 480).items()])

@@ -377,3 +377,39 @@ def quantile_diverse_picks(spark: SparkSession, sf: str) -> DataFrame:
         return pd.DataFrame(out, columns=["selection", "doc_id", "lang"])
 
     return short.groupBy(F.lit(1).alias("one")).applyInPandas(run, "selection string, doc_id bigint, lang string")
+
+
+def summarize(images: DataFrame, seed: int = stats.SEED, replicates: int = stats.REPLICATES) -> DataFrame:
+    """``scope, metric, n, mean, ci95_low, ci95_high`` of :func:`image_metrics`.
+
+    Scopes: overall and by group over detected images, thresholds also over all images, and
+    points.  One long table serves all scopes; each metric of a scope is one Python call.
+    """
+    long = images.select("id", "label", "detected", *_NAMES).unpivot(["id", "label", "detected"], list(_NAMES), "metric", "v")
+    group = F.concat(F.lit("group:"), F.col("label").cast("string"))
+    whole = F.when(F.col("metric").startswith("pck"), F.lit("all_images"))
+    scopes = F.array_compact(F.array(F.when(F.col("detected"), F.lit("overall")), F.when(F.col("detected"), group), whole))
+    by_image = long.select(F.explode(scopes).alias("scope"), "metric", "v", "id")
+    points = images.filter("detected").select("id", F.posexplode("ne").alias("k", "v"))
+    by_point = points.select(F.concat(F.lit("point:"), (F.col("k") + 1).cast("string")).alias("scope"), F.lit("nme").alias("metric"), "v", "id")
+    rows = by_image.unionByName(by_point).filter(stats.finite(F.col("v")))
+    return stats.bootstrap(rows, ["scope", "metric"], "v", "id", seed, replicates)
+
+
+@query()
+def prediction_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return summarize(_images(spark, sf), replicates=200)
+
+
+@query(
+    f"WITH b AS (SELECT user_id, event_id, value, min(value) OVER w AS best FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)), n AS (SELECT *, value <= best AS improved FROM b) "
+    f"SELECT event_id, {s6('best')} AS best_so_far, improved, (event_id - max(CASE WHEN improved THEN event_id END) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING))::BIGINT AS since_best FROM n"
+)
+def best_so_far(spark: SparkSession, sf: str) -> DataFrame:
+    """The bookkeeping of early stopping over a history: running best and the distance from it."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    b = _events(spark, sf).withColumn("best", F.min("value").over(w)).withColumn("improved", F.col("value") <= F.col("best"))
+    last = F.max(F.when(F.col("improved"), F.col("event_id"))).over(w)
+    return b.select("event_id", r6(F.col("best")).alias("best_so_far"), "improved", (F.col("event_id") - last).alias("since_best"))
