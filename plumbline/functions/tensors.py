@@ -10,10 +10,19 @@ def _total(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
 
 
+def _with(value: Column, then) -> Column:
+    """``then(value)`` with the value computed once, also where lambdas use it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def softmax(logits: Column) -> Column:
-    """Softmax of an array.  ``logits`` must be a column, for it is used more than once."""
-    shifted = F.transform(logits, lambda v: F.exp(v.cast("double") - F.array_max(logits).cast("double")))
-    return F.get(F.transform(F.array(F.struct(shifted.alias("e"), _total(shifted).alias("s"))), lambda r: F.transform(r["e"], lambda v: v / r["s"])), F.lit(0))
+    """Softmax of an array."""
+
+    def scaled(r: Column) -> Column:
+        e = F.transform(r["v"], lambda v: F.exp(v.cast("double") - r["top"]))
+        return _with(F.struct(e.alias("e"), _total(e).alias("s")), lambda q: F.transform(q["e"], lambda v: v / q["s"]))
+
+    return _with(F.struct(logits.alias("v"), F.array_max(logits).cast("double").alias("top")), scaled)
 
 
 def expected_coordinates(probability: Column, size: int) -> Column:
@@ -29,7 +38,7 @@ def gaussian_map(x: Column, y: Column, size: int, sigma: float) -> Column:
     raw = F.transform(
         at, lambda i: F.exp(-(F.pow(i % size - x * (size - 1), 2) + F.pow(F.floor(i / size) - y * (size - 1), 2)) / (2 * sigma * sigma))
     )
-    return F.get(F.transform(F.array(F.struct(raw.alias("e"), F.greatest(_total(raw), F.lit(1e-12)).alias("s"))), lambda r: F.transform(r["e"], lambda v: v / r["s"])), F.lit(0))
+    return _with(F.struct(raw.alias("e"), F.greatest(_total(raw), F.lit(1e-12)).alias("s")), lambda r: F.transform(r["e"], lambda v: v / r["s"]))
 
 
 def smooth_l1(a: Column, b: Column, beta: float = 0.02) -> Column:
@@ -39,6 +48,7 @@ def smooth_l1(a: Column, b: Column, beta: float = 0.02) -> Column:
 
 def cross_entropy(target: Column, logits: Column) -> Column:
     """Minus the target-weighted log softmax."""
-    top = F.array_max(logits).cast("double")
-    norm = F.log(_total(F.transform(logits, lambda v: F.exp(v.cast("double") - top)))) + top
-    return -_total(F.zip_with(target, logits, lambda t, v: t * (v.cast("double") - norm)))
+    weighted = _total(F.zip_with(target, logits, lambda t, v: t * v.cast("double")))
+    total = lambda r: _total(F.transform(r["v"], lambda v: F.exp(v.cast("double") - r["top"])))
+    norm = _with(F.struct(logits.alias("v"), F.array_max(logits).cast("double").alias("top")), lambda r: F.log(total(r)) + r["top"])
+    return norm * _total(target) - weighted
