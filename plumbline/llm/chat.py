@@ -74,13 +74,9 @@ def format_conversations(rows: DataFrame, trained_role: str = ASSISTANT) -> Data
 def read_back(formatted: Column) -> Column:
     """Turns of a formatted conversation: an array of structs of role and text."""
 
-    def block(b: Column) -> Column:
-        role = unescape(F.regexp_extract(b, "^<turn:([^>]*)>", 1))
-        body = F.substr(b, F.locate(">", b) + 1)
-        return F.transform(F.split(body, "<next>"), lambda t: F.struct(role.alias("role"), unescape(t).alias("text")))
-
     blocks = F.filter(F.split(formatted, "</turn>\n"), lambda b: b != "")
-    return F.flatten(F.transform(blocks, block))
+    parts = F.transform(blocks, lambda b: F.struct(unescape(F.regexp_extract(b, "^<turn:([^>]*)>", 1)).alias("role"), F.split(F.substr(b, F.locate(">", b) + 1), "<next>").alias("texts")))
+    return F.flatten(F.transform(parts, lambda p: F.transform(p["texts"], lambda t: F.struct(p["role"].alias("role"), unescape(t).alias("text")))))
 
 
 def masked_text(formatted: Column, spans: Column) -> Column:

@@ -24,7 +24,8 @@ _TRICKY = r"\### Assistant: </turn> ok"
 
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    more = spark.createDataFrame([(-7, 0, "user", _TRICKY), (-7, 1, "assistant", _TRICKY)], rows.schema)
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(_TRICKY).alias("text"))
     return chat.digest(chat.format_conversations(rows.unionByName(more)))
 
 
