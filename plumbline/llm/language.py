@@ -27,10 +27,14 @@ from plumbline.llm.common import arrow_map, each_batch, text_column, texts
 UNDETERMINED = "und"
 #: Labelled documents that each language learns from, at most.
 TRAINING_DOCUMENTS = 400
+#: Different labels that there may be.
+MAX_LANGUAGES = 1000
 #: Letters of the alphabet that are told apart; rarer ones are one class.
 ALPHABET = 62
 #: Code points that a slice of the letter arrays may hold.
-SLICE = 1_000_000
+SLICE = 250_000
+#: Words of the documents whose mixtures are estimated together.
+WORDS_AT_ONCE = 60_000
 EM_ROUNDS = 8
 #: Words by which a further language must pay for itself, beyond the criterion's log n / 2.
 PENALTY = 6.0
@@ -147,12 +151,21 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, per_language: int = TRAINING_DOCUMENTS) -> Model | None:
     """Learns from the labelled documents of least hash, ``per_language`` of each language.
 
-    Ids are chosen from two narrow columns, with a limit for each language before the
-    shuffle; only the texts chosen come to the driver.
+    Ids are chosen from two narrow columns.  A share of the hash's range that holds a few
+    times ``per_language`` documents is cut off before they are ranked, so that a common
+    language doesn't gather in one task; only the texts chosen come to the driver.
     """
     known = docs.filter(F.col("lang").isNotNull() & ~F.coalesce(held_out(F.col("doc_id")), F.lit(True)))
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
+    if len(sizes) > MAX_LANGUAGES:
+        raise ValueError("too many languages")
+    if not sizes:
+        return None
+    share = lambda n: min(1.0, 3 * per_language / n + 100 / n)
+    cut = F.try_element_at(F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, share(n))]), F.col("lang"))
+    low = F.xxhash64("doc_id").cast("double") / 2.0**64 + 0.5 <= cut
     rank = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = known.select("doc_id", "lang").withColumn("_k", F.row_number().over(rank)).filter(F.col("_k") <= per_language)
+    ids = known.select("doc_id", "lang").filter(low).withColumn("_k", F.row_number().over(rank)).filter(F.col("_k") <= per_language)
     chosen = [r["doc_id"] for r in ids.select("doc_id").collect()]
     rows = known.filter(F.col("doc_id").isin(chosen) & F.col("text").isNotNull()).select("text", "lang").collect() if chosen else []
     rows = [(r["text"], r["lang"]) for r in sorted(rows)]
@@ -179,7 +192,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                     if len(logs):
                         todo.append((k, logs))
                         held += len(logs)
-                if todo and (held > 200_000 or k == len(ts) - 1):
+                if todo and (held > WORDS_AT_ONCE or k == len(ts) - 1):
                     got = mixtures(np.concatenate([x for _, x in todo]), np.array([len(x) for _, x in todo]))
                     for (j, _), share in zip(todo, got, strict=True):
                         best = int(share.argmax())
