@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch for Python workers.  Bounds a worker's memory when rows hold whole texts.
-ARROW_ROWS = 500
+ARROW_ROWS = 250
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -31,7 +31,7 @@ from plumbline.llm.common import Workspace, arrow_map, each_batch, text_column,
 CAPACITY = 4096
 END_ID = 1
 #: Pieces of one length that are ranked together.
-RANK_GROUP = 50_000
+RANK_GROUP = 16_384
 #: Nodes that one completion search may visit before its best-fit incumbent is taken.
 SEARCH_NODES = 4000
 

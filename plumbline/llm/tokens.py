@@ -31,7 +31,7 @@ LIMIT = 512
 _MEMO_UNITS = 300_000
 #: Units longer than this are counted anew each time.
 _MEMO_LENGTH = 200
-_MEMO_PAIRS = 1_000_000
+_MEMO_PAIRS = 500_000
 
 #: The pattern of byte-level vocabularies (fixed value).
 _PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
