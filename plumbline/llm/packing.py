@@ -1,10 +1,9 @@
-"""Operator 10: best-fit packing by bin completion with branch and bound.
+"""Operator 10: packing by best fit, bin completion and a branch and bound of bounded effort.
 
 Documents become token pieces in one Arrow pass.  Which lengths share a sequence depends
 only on how many pieces have each length, so the solver sees a histogram of at most
 ``capacity`` entries, however many documents there are.  Its answer is a list of fillings
-with multiplicities; each one it takes empties at least one length, so there are at most
-``capacity`` of them too.  Pieces then find their place by their rank among the pieces of
+with multiplicities, a few for each length at most.  Pieces then find their place by their rank among the pieces of
 their length: ranks are counted within salted groups, so one common length does not meet
 in one task.
 
@@ -18,8 +17,9 @@ from __future__ import annotations
 import json
 import re
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +32,10 @@ CAPACITY = 4096
 END_ID = 1
 #: Pieces of one length that are ranked together.
 RANK_GROUP = 16_384
-#: Nodes that one completion search may visit before its best-fit incumbent is taken.
+#: Steps after which one completion search takes the best filling found; its first descent is free.
 SEARCH_NODES = 4000
+#: Times as many steps for the branch and bound over all sequences.
+SEARCH_FACTOR = 50
 
 # ---------------------------------------------------------------- tokens
 
@@ -146,8 +148,6 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
 
 def lower_bound(counts: dict[int, int], capacity: int) -> int:
     """Martello and Toth's L2: no packing has fewer sequences."""
-    total = sum(n * c for n, c in counts.items())
-    best = -(-total // capacity)
     if not counts:
         return 0
     size = np.zeros(capacity + 1, dtype=np.int64)
@@ -155,98 +155,221 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
         size[n] = c
     number = np.concatenate([[0], np.cumsum(size)])
     tokens = np.concatenate([[0], np.cumsum(size * np.arange(capacity + 1))])
-    for k in range(capacity // 2 + 1):  # large: over capacity-k; middle: over half; small: k to half
-        large = number[capacity + 1] - number[capacity - k + 1]
-        middle = number[capacity - k + 1] - number[capacity // 2 + 1]
-        middle_tokens = tokens[capacity - k + 1] - tokens[capacity // 2 + 1]
-        small_tokens = tokens[capacity // 2 + 1] - tokens[k]
-        more = max(0, -(-(small_tokens - (middle * capacity - middle_tokens)) // capacity))
-        best = max(best, int(large + middle + more))
+    half = capacity // 2 + 1
+    k = np.arange(half)  # large: over capacity-k; middle: over half; small: k to half
+    large = number[capacity + 1] - number[capacity - k + 1]
+    middle = number[capacity - k + 1] - number[half]
+    spare = middle * capacity - (tokens[capacity - k + 1] - tokens[half])
+    more = np.maximum(0, -(-(tokens[half] - tokens[k] - spare) // capacity))
+    return max(-(-int(tokens[-1]) // capacity), int((large + middle + more).max()))
+
+
+Plan = list[tuple[int, dict[int, int]]]
+
+
+def best_fit_decreasing(counts: dict[int, int], capacity: int) -> Plan:
+    """The packing of best-fit decreasing, with equal sequences held together.
+
+    The fullest sequence that a piece fits into takes pieces of that length until no more
+    fit, so sequences of equal content stay equal but for the last one of a length.
+    """
+    groups: dict[int, list[tuple[int, dict[int, int]]]] = {}
+    rooms: list[int] = []
+
+    def put(room: int, times: int, need: dict[int, int]) -> None:
+        if room not in groups:
+            groups[room] = []
+            insort(rooms, room)
+        groups[room].append((times, need))
+
+    for n in sorted(counts, reverse=True):
+        c = counts[n]
+        while c > 0:
+            at = bisect_left(rooms, n)
+            if at < len(rooms):
+                room = rooms[at]
+                times, need = groups[room].pop()
+                if not groups[room]:
+                    del groups[room], rooms[at]
+            else:
+                room, times, need = capacity, -(-c // (capacity // n)), {}
+            each = room // n
+            full = min(times, c // each)
+            if full:
+                put(room - each * n, full, need | {n: each})
+                c -= full * each
+            if full < times and 0 < c:  # fewer are left than one sequence takes
+                put(room - c * n, 1, need | {n: c})
+                full, c = full + 1, 0
+            if full < times:
+                put(room, times - full, need)
+    return [(t, need) for gs in groups.values() for t, need in gs]
+
+
+class Budget:
+    """Steps that a search may still take."""
+
+    def __init__(self, steps: int):
+        self.steps = steps
+
+
+def fillings(room: int, left: dict[int, int], most: list[int], budget: Budget) -> Iterator[tuple[int, dict[int, int]]]:
+    """``waste, {length: pieces}`` of the fillings of ``room`` that waste at most ``most[0]``, larger pieces first.
+
+    Depth-first with a stack of its own; all pieces of a length that fit are taken at once
+    and given back one by one.  A branch ends when the tokens of the shorter pieces can't
+    bring the waste down to ``most[0]``, which the caller may lower meanwhile.  The first
+    descent is free, so there is a filling whatever the budget, if its waste is allowed.
+    """
+    lengths = sorted(n for n, c in left.items() if c > 0)
+    have = [left[n] for n in lengths]
+    below = [0, *accumulate(n * c for n, c in zip(lengths, have, strict=True))]
+    stack: list[list[int]] = []  # index of a length, pieces of it
+    at, first = len(lengths), True
+    while True:
+        at = min(at, bisect_right(lengths, room))
+        budget.steps -= not first
+        if at and room - below[at] <= most[0]:
+            at -= 1
+            k = min(have[at], room // lengths[at])
+            stack.append([at, k])
+            room -= k * lengths[at]
+            continue
+        if not at and room <= most[0]:
+            yield room, {lengths[i]: k for i, k in stack}
+        first = False
+        if not stack or budget.steps <= 0:
+            return
+        at, k = stack[-1]
+        room += lengths[at]
+        if k == 1:
+            stack.pop()
+        else:
+            stack[-1][1] -= 1
+
+
+def complete(room: int, left: dict[int, int], steps: int) -> dict[int, int]:
+    """The filling of least waste that the steps find; the first descent takes the largest piece that fits each time."""
+    most, best = [room], {}
+    for waste, fill in fillings(room, left, most, Budget(steps)):
+        best, most[0] = fill, waste - 1
+        if waste == 0:
+            break
     return best
 
 
-def complete(room: int, lengths: list[int], left: dict[int, int], allowed: int, nodes: int) -> list[int]:
-    """A filling of ``room`` from the lengths still left: of least waste, larger pieces first.
+def dominated(waste: int, fill: dict[int, int], left: dict[int, int], lengths: list[int]) -> bool:
+    """Whether a piece that is left over could take the place of nothing, one or two pieces of the filling.
 
-    Depth-first over undominated fillings: a branch takes the largest piece that fits before
-    smaller ones, so a filling that another one dominates (a piece of it replaced by a larger
-    piece that still fits) comes later with no less waste and never replaces the incumbent.
-    The first descent is best fit.  A branch ends when the tokens below its piece can't reach
-    the incumbent's waste, the search when the waste is 0 or its nodes are used up.
+    It must fit and leave no more room than before; whatever packing holds the filling can
+    swap them for it, so the filling needn't be tried.
     """
-    best: list[int] = []
-    best_waste = room
-    used: dict[int, int] = {}
-    seen = 0
-    target = 0 if allowed < 0 else min(allowed, 0)
-
-    def walk(room: int, at: int, taken: list[int]) -> bool:
-        nonlocal best, best_waste, seen
-        seen += 1
-        if room < best_waste:
-            best, best_waste = list(taken), room
-            if room <= target:
+    free = lambda n: left[n] > fill.get(n, 0)
+    own = sorted(fill)
+    sums = {0} | {a + b for i, a in enumerate(own) for b in own[i:] if a != b or fill[a] > 1}
+    for s, frm in [(s, s) for s in sums] + [(a, a + 1) for a in own]:
+        for n in lengths[bisect_left(lengths, max(frm, 1)) : bisect_right(lengths, s + waste)]:
+            if free(n):
                 return True
-        if seen > nodes:
-            return True
-        k = min(at, bisect_right(lengths, room))
-        tried = 0
-        while k > 0:
-            n = lengths[k - 1]
-            if left[n] - used.get(n, 0) > 0:
-                used[n] = used.get(n, 0) + 1
-                taken.append(n)
-                done = walk(room - n, k, taken)
-                taken.pop()
-                used[n] -= 1
-                if done:
-                    return True
-                tried += 1
-                if tried >= 12 or seen > nodes:
-                    break
-            k -= 1
-        return False
-
-    walk(room, len(lengths), [])
-    return best
+    return False
+
+
+def _moves(left: dict[int, int], capacity: int, most: list[int], budget: Budget) -> Iterator[tuple[int, int, dict[int, int]]]:
+    """``waste, times, need``: undominated completions of the largest piece left, each taken as often as it can be, then less often."""
+    left = {n: c for n, c in left.items() if c > 0}
+    top = max(left)
+    left[top] -= 1
+    lengths = sorted(left)
+    for waste, fill in fillings(capacity - top, left, most, budget):
+        if dominated(waste, fill, left, lengths):
+            continue
+        need = fill | {top: fill.get(top, 0) + 1}
+        for times in range(min((left[n] + (n == top)) // k for n, k in need.items()), 0, -1):
+            if waste * times <= most[0]:
+                yield waste, times, need
 
 
-def solve(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = SEARCH_NODES) -> list[tuple[int, dict[int, int]]]:
+def branch(counts: dict[int, int], capacity: int, plan: Plan, bound: int, budget: Budget) -> Plan:
+    """The best packing that backtracking over completions finds within the budget, ``plan`` if none is better.
+
+    A branch ends when its waste exceeds what a better packing may waste, when the bound of
+    what is left says so, or when the same pieces were left before after as few sequences.
+    """
+    fewest, total = sum(t for t, _ in plan), sum(n * c for n, c in counts.items())
+    left = {n: c for n, c in counts.items() if c > 0}
+    taken: Plan = []
+    closed, waste = 0, 0
+    most = [(fewest - 1) * capacity - total]
+    seen: dict[tuple, int] = {}
+    stack = [_moves(left, capacity, most, budget)] if left and most[0] >= 0 else []
+    while stack and fewest > bound and budget.steps > 0:
+        move = next(stack[-1], None)
+        if move is None:
+            stack.pop()
+            if taken:
+                times, need = taken.pop()
+                for n, k in need.items():
+                    left[n] += k * times
+                closed -= times
+                waste -= times * (capacity - sum(n * k for n, k in need.items()))
+                most[0] = (fewest - 1) * capacity - total - waste
+            continue
+        lost, times, need = move
+        if lost * times > most[0]:
+            continue
+        for n, k in need.items():
+            left[n] -= k * times
+        taken.append((times, need))
+        closed, waste = closed + times, waste + lost * times
+        budget.steps -= 1 + len(left) // 16
+        rest = {n: c for n, c in left.items() if c}
+        if not rest and closed < fewest:
+            plan, fewest = list(taken), closed
+        most[0] = (fewest - 1) * capacity - total - waste
+        state = tuple(sorted(rest.items()))
+        if rest and most[0] >= 0 and seen.get(state, fewest) > closed and closed + lower_bound(rest, capacity) < fewest:
+            seen[state] = closed
+            stack.append(_moves(rest, capacity, most, budget))
+        else:
+            stack.append(iter(()))
+    return plan
+
+
+def _completed(counts: dict[int, int], capacity: int, steps: int) -> Plan:
+    """The largest piece left is completed with least waste, the filling taken as often as the counts allow."""
+    left = {n: c for n, c in counts.items() if c > 0}
+    plan: Plan = []
+    while left:
+        top = max(left)
+        left[top] -= 1
+        need = complete(capacity - top, left, steps)
+        left[top] += 1
+        need[top] = need.get(top, 0) + 1
+        times = min(left[n] // k for n, k in need.items())
+        for n, k in need.items():
+            left[n] -= k * times
+            if not left[n]:
+                del left[n]
+        plan.append((times, need))
+    return plan
+
+
+def solve(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = SEARCH_NODES) -> Plan:
     """Fillings with multiplicities, ``[(times, {length: pieces})]``, that use up ``counts``.
 
-    Bin completion: the largest piece left is completed, the filling is taken as often as the
-    counts allow.  A solution is an incumbent; if it exceeds the bound, the search is repeated
-    with more nodes, and the best incumbent is returned.
+    The incumbent is best-fit decreasing, or least-waste completion where that is better.  If
+    it exceeds the bound, branch and bound looks for fewer sequences.  The result is optimal
+    when it meets the bound or the search ends by itself; the problem is NP-hard, so the
+    search has a budget, after which the incumbent is returned.
     """
     bound = lower_bound(counts, capacity)
-    best: list[tuple[int, dict[int, int]]] | None = None
-    fewest = 0
-    for limit in (nodes, 1, nodes * 4):
-        left = {n: c for n, c in counts.items() if c > 0}
-        lengths = sorted(left)
-        waste = bound * capacity - sum(n * c for n, c in left.items())
-        plan: list[tuple[int, dict[int, int]]] = []
-        while lengths:
-            top = lengths[-1]
-            left[top] -= 1
-            fill = complete(capacity - top, lengths, left, waste, limit)
-            left[top] += 1
-            need: dict[int, int] = {top: 1}
-            for n in fill:
-                need[n] = need.get(n, 0) + 1
-            times = min(left[n] // k for n, k in need.items())
-            for n, k in need.items():
-                left[n] -= k * times
-                if not left[n]:
-                    del left[n]
-            lengths = [n for n in lengths if n in left] if any(n not in left for n in need) else lengths
-            plan.append((times, need))
-        total = sum(t for t, _ in plan)
-        if best is None or total < fewest:
-            best, fewest = plan, total
-        if fewest <= bound:
-            break
-    return best or []
+    plan = best_fit_decreasing(counts, capacity)
+    size = lambda p: sum(t for t, _ in p)
+    if size(plan) > bound:
+        plan = min(plan, _completed(counts, capacity, nodes), key=size)
+    if size(plan) > bound:
+        plan = branch(counts, capacity, plan, bound, Budget(nodes * SEARCH_FACTOR))
+    return plan
 
 
 # ---------------------------------------------------------------- places

@@ -6,6 +6,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from plumbline.llm import packing, tokens
@@ -82,6 +83,37 @@ def test_solver_finds_what_best_fit_misses():
     assert packing.solve({}, 100) == [] and packing.lower_bound({}, 100) == 0
 
 
+def _fewest(pieces, capacity):
+    """The optimum by trying every sequence for every piece."""
+    pieces, best = sorted(pieces, reverse=True), len(pieces)
+
+    def go(i, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if i == len(pieces):
+            best = len(rooms)
+            return
+        for k, r in enumerate(rooms):
+            if r >= pieces[i] and r not in rooms[:k]:
+                go(i + 1, [*rooms[:k], r - pieces[i], *rooms[k + 1 :]])
+        go(i + 1, [*rooms, capacity - pieces[i]])
+
+    go(0, [])
+    return best
+
+
+def test_solver_equals_the_optimum_of_small_cases():
+    rng = random.Random(4)
+    cases = [([30, 29, 28, 17, 16, 14, 8, 5], 50)]
+    for _ in range(400):
+        capacity = rng.choice((20, 30, 50, 100))
+        least = rng.choice((1, capacity // 5))
+        cases.append(([rng.randint(least, capacity * rng.choice((1, 2)) // 2) for _ in range(rng.randint(1, 10))], capacity))
+    for ps, capacity in cases:
+        assert sum(t for t, _ in packing.solve({n: ps.count(n) for n in ps}, capacity)) == _fewest(ps, capacity)
+
+
 def test_packed_sequences_are_gapless(spark):
     rng = random.Random(7)
     rows = [(i, " ".join(rng.choice(ODD + ["alpha", "beta"]) for _ in range(rng.choice((0, 3, 40, 400)))), "e") for i in range(120)]
