@@ -114,6 +114,17 @@ def test_solver_equals_the_optimum_of_small_cases():
         assert sum(t for t, _ in packing.solve({n: ps.count(n) for n in ps}, capacity)) == _fewest(ps, capacity)
 
 
+def test_many_short_pieces_fill_a_sequence():
+    assert sum(t for t, _ in packing.solve({1: 10_000}, 4096)) == 3
+    assert sum(t for t, _ in packing.solve({1: 10_000, 2: 5000, 3: 4000, 2000: 30}, 4096)) == 23
+
+
+def test_ten_thousand_empty_texts(spark):
+    df = spark.range(10_000).selectExpr("id as doc_id", "if(id % 2 = 0, '', null) as text")
+    sizes = packing.pack(df, WORDS).groupBy("sequence_id").agg(F.count("*").alias("n")).collect()
+    assert sorted(r["n"] for r in sizes) == [10_000 - 2 * 4096, 4096, 4096]
+
+
 def test_packed_sequences_are_gapless(spark):
     rng = random.Random(7)
     rows = [(i, " ".join(rng.choice(ODD + ["alpha", "beta"]) for _ in range(rng.choice((0, 3, 40, 400)))), "e") for i in range(120)]
