@@ -5,7 +5,7 @@ window).  Their hashes travel to every task; each document is scanned once: its
 into vocabulary numbers, a rolling hash finds windows that may occur, and the numbers of
 every hit are compared.  The set is broadcast only up to ``MAX_BLOCK_WINDOWS`` windows; a
 larger benchmark is dealt into blocks of that size, each scanned on its own, and the hits of
-a document are joined on its id.
+a row are merged by a number that the row has got before.
 
 Edge cases: null and empty texts have no words, in documents and in the benchmark; an item
 without words has no window; repeated items each count; an empty benchmark leaves all
@@ -17,14 +17,14 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import arrow_map, each_batch, text_column, texts
+from plumbline.llm.common import Workspace, arrow_map, each_batch, text_column, texts
 
 WINDOW = 10
 #: Windows of the benchmark that are broadcast together.
@@ -127,18 +127,33 @@ SPANS = "hits array<struct<from: int, to: int>>, items array<bigint>"
 def scan(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, most: int = MAX_BLOCK_WINDOWS, keep: tuple[str, ...] = ("doc_id",), with_text: bool = False) -> DataFrame:
     """``_keep`` (a struct of the columns named), ``_text`` if asked for, ``n_words``, ``hits``, ``items``.
 
-    ``hits`` are runs of hit words, as word numbers.  With several blocks the rows of a
-    document are merged by ``doc_id``, which must be kept and unique then.
+    ``hits`` are runs of hit words, as word numbers.  With several blocks the rows are
+    numbered and written first, and the hits of a row are merged by its number.
     """
-    out = None
     benchmark = text_column(benchmark)
     df = text_column(docs).select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_keep"), F.col("text").alias("_text"))
     schema = f"_keep {df.schema['_keep'].dataType.simpleString()}, {'_text string, ' * with_text}n_words bigint, {SPANS}"
-    for block in _blocks(benchmark, size, most):
-        sent = docs.sparkSession.sparkContext.broadcast(block)
-        part = arrow_map(df, _scanner(sent, size, 1 + with_text), schema)
-        out = part if out is None else _merged(out, part)
-    return out
+    blocks = _blocks(benchmark, size, most)
+    first, second = next(blocks), next(blocks, None)
+    send = docs.sparkSession.sparkContext.broadcast
+    if second is None:
+        return arrow_map(df, _scanner(send(first), size, 1 + with_text), schema)
+    ws = Workspace(docs.sparkSession)
+    rows = ws.write(df.withColumn("_row", F.monotonically_increasing_id()))
+    numbered = rows.select("_row", "_text")
+    parts = None
+    for k, block in enumerate(chain([first, second], blocks)):
+        part = arrow_map(numbered, _scanner(send(block), size, 1), f"_row bigint, n_words bigint, {SPANS}")
+        # the first block says how many words there are, of the others only hits matter
+        part = ws.write(part if k == 0 else part.filter(F.size("hits") > 0))
+        parts = part if parts is None else parts.unionByName(part)
+    merged = parts.groupBy("_row").agg(
+        F.max("n_words").alias("n_words"),
+        F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+    )
+    joined = rows.join(merged, "_row").withColumn("hits", _coalesced("hits"))
+    return joined.select("_keep", *["_text"] * with_text, "n_words", "hits", "items")
 
 
 def _scanner(sent, size: int, n_keep: int):
@@ -161,15 +176,15 @@ def _scanner(sent, size: int, n_keep: int):
     return run
 
 
-def _merged(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Hits of two blocks for the same documents."""
-    b = b.select(F.col("_keep.doc_id").alias("_id"), F.col("hits").alias("_hits"), F.col("items").alias("_items"))
-    words_of = F.flatten(F.transform(F.concat("hits", "_hits"), lambda h: F.sequence(h["from"], h["to"] - 1)))
-    runs = F.transform(F.sort_array(F.array_distinct(words_of)), lambda x: F.struct(x.alias("from"), (x + 1).alias("to")))
-    rest = [c for c in a.columns if c not in ("hits", "items")]
-    return a.join(b, F.col("_keep.doc_id").eqNullSafe(F.col("_id"))).select(
-        *rest, runs.alias("hits"), F.array_union("items", "_items").alias("items")
-    )
+def _coalesced(column: str) -> Column:
+    """Sorted runs as one run wherever they overlap or touch."""
+
+    def add(done: Column, h: Column) -> Column:
+        last = F.try_element_at(done, F.lit(-1))
+        longer = F.struct(last["from"].alias("from"), F.greatest(last["to"], h["to"]).alias("to"))
+        return F.when(last["to"] >= h["from"], F.concat(F.slice(done, 1, F.size(done) - 1), F.array(longer))).otherwise(F.concat(done, F.array(h)))
+
+    return F.aggregate(column, F.filter(column, lambda h: F.lit(False)), add)
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -150,6 +150,21 @@ def test_decontamination_equals_brute_force(spark, most):
     assert got == _brute(docs, bench)
 
 
+def test_blocks_give_what_one_block_gives(spark):
+    rng = random.Random(6)
+    word = lambda: rng.choice(["alpha", "beta", "gamma", "x1"])
+    bench = [(i, ", ".join(word() for _ in range(12))) for i in range(9)]
+    docs = [(d % 5 or None, f"{word()}; {rng.choice(bench)[1]}! {rng.choice(bench)[1]} - {'pad ' * 60}", d) for d in range(20)]
+    df = spark.createDataFrame([*docs, docs[3], docs[3], (7, None, 0)], "doc_id long, text string, n long")
+    b = spark.createDataFrame(bench, "item_id long, text string")
+    found = {}
+    for most in (200_000, 7):
+        scanned = decontamination.scan(df, b, most=most, keep=("doc_id", "n"), with_text=True).collect()
+        found[most] = sorted(repr((r["_keep"], r["_text"], r["n_words"], r["hits"], sorted(r["items"]))) for r in scanned)
+        assert len(scanned) == 23 and max(len(r["items"]) for r in scanned) > 1
+    assert found[7] == found[200_000]
+
+
 def test_spans_are_cut_and_whole_copies_go(spark):
     item = "one two three four five six seven eight nine ten eleven"
     docs = spark.createDataFrame([(1, f"Before, {item.upper()}! after " + "pad " * 30, "a"), (2, item, "b"), (3, "clean text", "c"), (4, None, "d"), (5, "", "e")], "doc_id long, text string, items string")
