@@ -126,6 +126,35 @@ def test_fuzzy_lines_against_brute_force(spark):
     assert all(r["text"] == (f"{ls[i]}\nshort" if i in kept else "short") for i, r in got.items())
 
 
+def _banded(spark, pairs):
+    """How many pairs of lines lose one to the other, each pair being judged by itself."""
+    rows = [(2 * i + k, line) for i, p in enumerate(pairs) for k, line in enumerate(p)]
+    got = {r["doc_id"]: r["n_removed"] for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    return sum(got[2 * i + 1] for i in range(len(pairs)))
+
+
+def test_recall_on_short_lines(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 9)))
+    pairs = []
+    while len(pairs) < 1000:
+        ws = [word() for _ in range(rng.randint(4, 16))]
+        other, k = list(ws), rng.randrange(len(ws))
+        edit = len(pairs) % 3
+        if edit == 0:
+            at = rng.randrange(len(ws[k]))
+            other[k] = ws[k][:at] + rng.choice("0123456789") + ws[k][at + 1 :]
+        elif edit == 1:
+            other.insert(k, word()[:3])
+        else:
+            del other[k]
+        a, b = " ".join(ws), " ".join(other)
+        x, y = _shingles(a), _shingles(b)
+        if min(len(a), len(b)) >= 20 and len(x & y) >= 0.8 * len(x | y):
+            pairs.append((a, b))
+    assert _banded(spark, pairs) >= 990
+
+
 def test_line_edge_cases(spark):
     long = "this line is long enough to count as one"
     rows = [(5, None, "e"), (6, "", "e"), (1, f"{long}\n\nshort", "a"), (2, f"short\n{long}", "b"), (3, long, "c"), (3, long, "c"), (None, long, "d"), (7, " \n ", "e")]
