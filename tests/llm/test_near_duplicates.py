@@ -155,6 +155,20 @@ def test_recall_on_short_lines(spark):
     assert _banded(spark, pairs) >= 990
 
 
+def test_case_and_lines_without_spaces(spark):
+    rng = random.Random(9)
+    some = lambda s, n: "".join(rng.choice(s) for _ in range(n))
+    prose = [" ".join(some("abcdefgh", 5) for _ in range(8)) for _ in range(60)]
+    pairs = [(x, x.upper() if k % 2 else x.title()) for k, x in enumerate(prose)]
+    for n in (60, 125, 130, 300, 500, 520, 3000):
+        for _ in range(10):
+            x = some([chr(0x4E00 + k) for k in range(3000)], n)
+            pairs.append((x, "字" + x[1:]))
+            x = some("abcdefghijklmnop/%", n)
+            pairs.append((x, f"#{x[1:]}\t"))
+    assert _banded(spark, pairs) == len(pairs)
+
+
 def test_line_edge_cases(spark):
     long = "this line is long enough to count as one"
     rows = [(5, None, "e"), (6, "", "e"), (1, f"{long}\n\nshort", "a"), (2, f"short\n{long}", "b"), (3, long, "c"), (3, long, "c"), (None, long, "d"), (7, " \n ", "e")]
