@@ -169,6 +169,73 @@ def test_case_and_lines_without_spaces(spark):
     assert _banded(spark, pairs) == len(pairs)
 
 
+def _edited(line, kind, rng, share):
+    other = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9)))
+    if kind in ("characters", "unspaced"):
+        return "".join(rng.choice("0123456789") if rng.random() < share / 5 else x for x in line)
+    if kind == "words":
+        return " ".join(other() if rng.random() < share else w for w in line.split())
+    return " ".join(y for w in line.split() for y in ([w, other()] if rng.random() < share else [w]))
+
+
+@pytest.mark.parametrize("kind", ["characters", "words", "inserted", "unspaced"])
+def test_recall_just_above_the_threshold(spark, kind):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9)))
+    pairs = []
+    while len(pairs) < 250:
+        a = ("" if kind == "unspaced" else " ").join(word() for _ in range(rng.randint(6, 80)))
+        b = _edited(a, kind, rng, rng.uniform(0.03, 0.2))
+        x, y = _shingles(a), _shingles(b)
+        if 0.8 <= len(x & y) / len(x | y) < 0.85:
+            pairs.append((a, b))
+    assert _banded(spark, pairs) >= 238
+
+
+def _crowd(rng, n):
+    """Lines that share a passage, many of them just under or over the threshold to one another."""
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7)))
+    passage, vocabulary = [word() for _ in range(40)], [word() for _ in range(60)]
+    out = set()
+    while len(out) < n:
+        w = [x for x in passage if rng.random() > rng.choice((0, 0.02, 0.1))]
+        at = rng.randrange(len(w))
+        out.add(" ".join(w[:at] + [rng.choice(vocabulary) for _ in range(rng.randint(0, 12))] + w[at:]))
+    return sorted(out)
+
+
+def test_what_remains_of_a_crowded_cell_loses_no_pair(spark):
+    ls = _crowd(random.Random(12), 160)
+    sets = [_shingles(x) for x in ls]
+    near = [(a, b) for a, b in itertools.combinations(range(len(ls)), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    ws = Workspace(spark)
+    texts = spark.createDataFrame([(i, x, len(sets[i])) for i, x in enumerate(ls)], "id long, line string, n int")
+    crowd = spark.createDataFrame([(k % 2, i) for i in range(len(ls)) for k in range(2 - (i % 5 == 0))], "cell long, id long")
+    both = {i for i in range(len(ls)) if i % 5}
+    for linked in ([p for k, p in enumerate(near) if k % 7 == 0], [p for p in near if 3 in p], []):
+        roots = _roots(len(ls), linked)
+        inside = {x for p in linked for x in p}
+        got_roots = spark.createDataFrame([(i, roots[i]) for i in inside], "node long, root long")
+        to_hub, pairs = lines._remaining(crowd, spark.createDataFrame(linked, "a long, b long"), got_roots, texts, ws, 0.8)
+        hubs, found = ({(r["a"], r["b"]) for r in d.collect()} for d in (to_hub, pairs))
+        assert hubs <= set(near)
+        after = _roots(len(ls), linked + sorted(hubs))
+        left = {(a, b) for a, b in near if after[a] != after[b] and (a in both and b in both or a % 5 == b % 5 == 0 or a in both or b in both)}
+        assert left <= found
+        print(len(near), len(found), len(found & set(near)), sum(1 for p in itertools.combinations(range(len(ls)), 2) if roots[p[0]] != roots[p[1]]))
+
+
+def test_crowds_against_brute_force(spark):
+    rng = random.Random(13)
+    ls = _crowd(rng, 220) + _crowd(rng, 60)
+    sets = [_shingles(x) for x in ls]
+    near = [(a, b) for a, b in itertools.combinations(range(len(ls)), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    want = {i for i, r in enumerate(_roots(len(ls), near)) if r == i}
+    docs = spark.createDataFrame(list(enumerate(ls)), "doc_id long, text string")
+    kept = {r["doc_id"] for r in lines.dedup_lines(docs).collect() if not r["n_removed"]}
+    assert want <= kept and len(kept - want) <= 0.02 * len(ls)
+
+
 def test_line_edge_cases(spark):
     long = "this line is long enough to count as one"
     rows = [(5, None, "e"), (6, "", "e"), (1, f"{long}\n\nshort", "a"), (2, f"short\n{long}", "b"), (3, long, "c"), (3, long, "c"), (None, long, "d"), (7, " \n ", "e")]
