@@ -222,7 +222,8 @@ def test_what_remains_of_a_crowded_cell_loses_no_pair(spark):
         after = _roots(len(ls), linked + sorted(hubs))
         left = {(a, b) for a, b in near if after[a] != after[b] and (a in both and b in both or a % 5 == b % 5 == 0 or a in both or b in both)}
         assert left <= found
-        print(len(near), len(found), len(found & set(near)), sum(1 for p in itertools.combinations(range(len(ls)), 2) if roots[p[0]] != roots[p[1]]))
+        apart = sum(1 for a, b in itertools.combinations(range(len(ls)), 2) if after[a] != after[b])
+        assert len(found - set(near)) < 0.5 * apart
 
 
 def test_crowds_against_brute_force(spark):
