@@ -23,34 +23,38 @@ def resampled_means(values: np.ndarray, replicates: int = REPLICATES, seed: int
     return np.concatenate(out)
 
 
+#: Fields of an interval's row, and the tails that it leaves out (fixed values).
+_CI = "n bigint, mean double, ci95_low double, ci95_high double"
+TAILS = (0.025, 0.975)
+
+
+def _interval(sums: np.ndarray, counts: np.ndarray | None, seed: int, replicates: int) -> dict[str, float]:
+    """A row of ``_CI`` over values, or over clusters by their sums and counts; without any, all but n is null."""
+    row = dict.fromkeys(field.split()[0] for field in _CI.split(", "))
+    row["n"] = len(sums) if counts is None else int(counts.sum())
+    if len(sums):
+        ends = np.quantile(resampled_means(sums, replicates, seed, counts), TAILS)
+        row |= {"mean": float(sums.sum() / counts.sum() if counts is not None else sums.mean()), "ci95_low": float(ends[0]), "ci95_high": float(ends[1])}
+    return row
+
+
 def mean_ci(values, seed: int = SEED, replicates: int = REPLICATES) -> dict[str, float]:
     """Count, mean and percentile interval of the finite values, in the order given."""
-    v = np.asarray(values, dtype=np.float64)
-    v = v[np.isfinite(v)]
-    if not len(v):
-        return {"n": 0, "mean": None, "ci95_low": None, "ci95_high": None}
-    means = resampled_means(v, replicates, seed)
-    return {"n": len(v), "mean": float(v.mean()), "ci95_low": float(np.quantile(means, 0.025)), "ci95_high": float(np.quantile(means, 0.975))}
+    values = np.array(values, dtype=np.float64)
+    return _interval(values[np.isfinite(values)], None, seed, replicates)
 
 
 def cluster_mean_ci(sums, counts, seed: int = SEED, replicates: int = REPLICATES) -> dict[str, float]:
     """The same over clusters, given each cluster's sum and count."""
-    s, c = np.asarray(sums, dtype=np.float64), np.asarray(counts, dtype=np.float64)
-    if not len(s):
-        return {"n": 0, "clusters": 0, "mean": None, "ci95_low": None, "ci95_high": None}
-    means = resampled_means(s, replicates, seed, c)
-    return {"n": int(c.sum()), "clusters": len(s), "mean": float(s.sum() / c.sum()),
-            "ci95_low": float(np.quantile(means, 0.025)), "ci95_high": float(np.quantile(means, 0.975))}
-
-
-_CI = "n bigint, mean double, ci95_low double, ci95_high double"
+    sums, counts = np.array(sums, dtype=np.float64), np.array(counts, dtype=np.float64)
+    return _interval(sums, counts, seed, replicates) | {"clusters": len(sums)}
 
 
 def bootstrap(df: DataFrame, by: list[str], value: str, order: str, seed: int = SEED, replicates: int = REPLICATES) -> DataFrame:
     """Bootstrap interval of the mean by group.  ``order`` fixes the row order that the draws refer to.
 
     A group's finite values meet in one Python call, for the interval depends on the
-    generator's sequence; :func:`hashed_bootstrap` has no such call.
+    generator's sequence; of large groups, :func:`cluster_bootstrap` sees the clusters alone.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

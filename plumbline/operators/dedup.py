@@ -65,25 +65,37 @@ def gradient_bits(v: Column, n: int) -> Column:
 LEAST_BAND_BITS = 8
 
 
-def near_pairs(records: DataFrame, block: list[str], key: str, bits: str, most: int, width: int = 64) -> DataFrame:
+def near_pairs(
+    records: DataFrame, block: list[str], key: str, bits: str, most: int, width: int = 64, size: str | None = None, content: str | None = None, ratio: float = 0.01
+) -> DataFrame:
     """Pairs of a block within a Hamming distance: ``left_id, right_id, hamming_distance``, left < right.
 
     The bits are cut into ``most + 1`` bands; a pair within the distance agrees on one of
-    them, so bands are join keys wherever they are wide enough to be worth it.
+    them, so bands are join keys wherever they are wide enough to be worth it.  With ``size``
+    the sizes differ by at most ``ratio`` of the larger one, which is given as
+    ``relative_file_size_difference``; with ``content`` equal contents are no pair.  A null
+    in a column that is compared makes no pair.
     """
     n = most + 1
-    cols = [*block, key, bits]
+    more = [c for c in (size, content) if c]
+    cols = [*block, key, bits, *more]
     if width // n >= LEAST_BAND_BITS:
-        size = -(-width // n)
-        bands = F.array(*[F.struct(F.lit(k).alias("k"), F.shiftrightunsigned(bits, k * size).bitwiseAND(F.lit((1 << size) - 1)).alias("v")) for k in range(n)])
+        part = -(-width // n)
+        bands = F.array(*[F.struct(F.lit(k).alias("k"), F.shiftrightunsigned(bits, k * part).bitwiseAND(F.lit((1 << part) - 1)).alias("v")) for k in range(n)])
         dealt, on = records.select(*cols, F.explode(bands).alias("_band")), [*block, "_band"]
     else:
         dealt, on = records.select(*cols), block
-    a = dealt.select(*on, F.col(key).alias("left_id"), F.col(bits).alias("_a"))
-    b = dealt.select(*on, F.col(key).alias("right_id"), F.col(bits).alias("_b"))
-    distance = F.bit_count(F.col("_a").bitwiseXOR(F.col("_b"))).cast("int")
+    a, b = (dealt.select(*on, F.col(key).alias(f"{s}_id"), F.col(bits).alias(f"_{s}"), *[F.col(c).alias(f"_{s}_{c}") for c in more]) for s in ("left", "right"))
+    distance = F.bit_count(F.col("_left").bitwiseXOR(F.col("_right"))).cast("int")
     pairs = a.join(b, on).filter("left_id < right_id").withColumn("hamming_distance", distance).filter(F.col("hamming_distance") <= most)
-    pairs = pairs.select(*block, "left_id", "right_id", "hamming_distance")
+    out = [*block, "left_id", "right_id", "hamming_distance"]
+    if content:
+        pairs = pairs.filter(F.col(f"_left_{content}") != F.col(f"_right_{content}"))
+    if size:
+        left, right = F.col(f"_left_{size}").cast("double"), F.col(f"_right_{size}").cast("double")
+        pairs = pairs.withColumn("relative_file_size_difference", F.try_divide(F.abs(left - right), F.greatest(left, right)))
+        pairs, out = pairs.filter(F.col("relative_file_size_difference") <= ratio), [*out, "relative_file_size_difference"]
+    pairs = pairs.select(*out)
     return pairs.distinct() if "_band" in on else pairs
 
 

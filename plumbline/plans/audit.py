@@ -11,15 +11,17 @@ from plumbline.sources import files
 
 
 def _keyed(points: DataFrame) -> DataFrame:
-    """Pixels by record; of a repeated id the last value counts, at the first's place."""
-    p = points.groupBy("record", "point_id").agg(F.max("x").alias("x"), F.max("y").alias("y"))
+    """Pixels by record; of a repeated id the last one counts, by ``place`` if there is one, else the one of greatest (x, y)."""
+    at = F.struct("x", "y")
+    last = F.max_by(at, F.struct("place", at)) if "place" in points.columns else F.max(at)
+    p = points.groupBy("record", "point_id").agg(last.alias("p")).select("record", "point_id", "p.*")
     return p.groupBy("record").agg(F.sort_array(F.collect_list(F.struct("point_id", "x", "y"))).alias("pixels"))
 
 
 def audit(points: DataFrame, poses: DataFrame, images: DataFrame, spark: SparkSession) -> dict[str, DataFrame]:
     """Tables of the audit.
 
-    ``points``: record, point_id, x, y; ``poses``: record, line_no, bbox_w, bbox_h, keypoints,
+    ``points``: record, point_id, x, y and perhaps place, their order; ``poses``: record, line_no, bbox_w, bbox_h, keypoints,
     n_points; ``images``: record, source_group, taxon, origin, width, height, file_bytes,
     content_id, image_error (decoded elsewhere: a missing or broken image is a row with an error).
     """

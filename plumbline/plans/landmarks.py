@@ -226,7 +226,7 @@ def canonical_permutation(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("id", "canonical_id", "raw_id", r6(F.col("x")).alias("x"), r6(F.col("y")).alias("y"))
 
 
-_CHECKS_SQL = {n: e.format(*[f"x{k}" for k in range(12)]) for n, e in roles.TOPOLOGY_SQL.items()}
+_CHECKS_SQL = roles.topology_sql()
 
 
 @query(f"WITH {LM}, {_WIDE} SELECT id, " + ", ".join(f"({e}) AS {n}" for n, e in _CHECKS_SQL.items()) + " FROM w")
@@ -244,7 +244,7 @@ def topology_checks(spark: SparkSession, sf: str) -> DataFrame:
 )
 def topology_summary(spark: SparkSession, sf: str) -> DataFrame:
     wide = topology_checks(spark, sf)
-    long = wide.unpivot("id", list(roles.TOPOLOGY_SQL), "check_name", "ok")
+    long = wide.unpivot("id", list(_CHECKS_SQL), "check_name", "ok")
     ok = F.col("ok")
     return long.groupBy("check_name").agg(
         F.count(F.when(ok, 1)).alias("pass_count"),

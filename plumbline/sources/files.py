@@ -24,17 +24,17 @@ def record_name(path: Column, suffix: str) -> Column:
 
 
 def keypoint_csv(spark: SparkSession, path: str, suffix: str = "_result.csv") -> DataFrame:
-    """``record, point_id, x, y`` of all keypoint files below a folder.
+    """``record, point_id, x, y, place`` of all keypoint files below a folder.
 
     A byte-order mark, blanks and trailing commas don't matter; rows that don't parse and
-    points at the origin are left out.
+    points at the origin are left out.  ``place`` grows down a file.
     """
     rows = (
         spark.read.option("header", True).option("enforceSchema", True).option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}")
-        .schema("ID string, X string, Y string").csv(path).select("*", F.col("_metadata.file_path").alias("_path"))
+        .schema("ID string, X string, Y string").csv(path).select("*", F.col("_metadata.file_path").alias("_path"), F.monotonically_increasing_id().alias("_id"), F.col("_metadata.file_block_start").alias("_start"))
     )
     p = X.keypoint_row(F.col("ID"), F.col("X"), F.col("Y"))
-    return rows.select(record_name(F.col("_path"), suffix).alias("record"), p.alias("p")).filter("p is not null").select("record", "p.*")
+    return rows.select(record_name(F.col("_path"), suffix).alias("record"), p.alias("p"), F.struct("_start", "_id").alias("place")).filter("p is not null").select("record", "p.*", "place")
 
 
 def pose_text(spark: SparkSession, path: str, suffix: str = ".txt") -> DataFrame:

@@ -11,6 +11,7 @@ from plumbline.functions import geometry as G
 from plumbline.functions import stats
 from plumbline.functions import text as X
 from plumbline.operators import dedup, relational, roles, splits
+from plumbline.plans import audit
 
 POINTS = "id int, points array<struct<canonical_id: int, x: double, y: double>>"
 
@@ -117,6 +118,29 @@ def test_banded_near_pairs_equal_brute_force(spark):
     assert got == {(i, j) for i, a, x in rows for j, b, y in rows if i < j and a == b and (x ^ y).bit_count() <= 2}
 
 
+def test_near_pairs_by_size_and_content(spark):
+    rows = [(1, 0, 5, 1000, "a"), (2, 0, 5, 1000, "a"), (3, 0, 5, 1010, "b"), (4, 0, 7, 1011, "c"), (5, 0, 5, None, "d"), (6, 0, 5, 990, None)]
+    df = spark.createDataFrame(rows, "id int, block int, bits bigint, bytes bigint, content string")
+    got = {(r["left_id"], r["right_id"]): r["relative_file_size_difference"] for r in dedup.near_pairs(df, ["block"], "id", "bits", 2, size="bytes", content="content").collect()}
+    assert got == {(1, 3): pytest.approx(10 / 1010), (2, 3): pytest.approx(10 / 1010), (3, 4): pytest.approx(1 / 1011)}
+
+
+def test_split_order_is_the_generators(spark):
+    df = spark.createDataFrame([("abc", i) for i in range(20)], "stratum string, id int")
+    got = {r["id"]: r["split"] for r in splits.split_members(df, "stratum", "id").collect()}
+    ids = list(range(20))
+    random.Random(splits.SEED + ord("a") + 2 * ord("b") + 3 * ord("c")).shuffle(ids)
+    assert got == {i: "test" if k < 3 else "validation" if k < 6 else "train" for k, i in enumerate(ids)}
+
+
+def test_repeated_points_stay_whole(spark):
+    rows = [("r", 1, 1.0, 9.0, 0), ("r", 1, 5.0, 2.0, 1), ("r", 2, 7.0, 7.0, 2), ("s", 1, 5.0, 2.0, 3), ("s", 1, 1.0, 9.0, 4)]
+    df = spark.createDataFrame(rows, "record string, point_id int, x double, y double, place int")
+    got = {r["record"]: [tuple(p) for p in r["pixels"]] for r in audit._keyed(df).collect()}
+    assert got == {"r": [(1, 5.0, 2.0), (2, 7.0, 7.0)], "s": [(1, 1.0, 9.0)]}
+    assert [tuple(p) for r in audit._keyed(df.drop("place").filter("record = 's'")).collect() for p in r["pixels"]] == [(1, 5.0, 2.0)]
+
+
 def test_icc(spark):
     df = spark.createDataFrame([(1, 1.0, 1.0), (1, 2.0, 2.0), (1, 4.0, 4.0), (1, 8.0, 8.0), (2, 1.0, 5.0)], "g int, a double, b double")
     got = {r["g"]: r["icc"] for r in stats.icc_a1("a", "b", "g")(df).collect()}
