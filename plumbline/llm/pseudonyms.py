@@ -7,9 +7,11 @@ depends on the key, the kind and the value alone, so equal values stay linked ac
 documents, however they are written, and different values stay different.
 
 Everything is Spark expressions: a text is split at its matches, and the matches are
-transformed and put back.  Texts without a digit or an @ are passed on.
+transformed and put back.  Texts in which no pattern can match (no digit, no @, no key id and
+no word that introduces a secret) are passed on.  A match keeps the kind whose pattern found
+it, so a secret of digits is permuted as a secret.
 
-Kinds: e-mail (letters and digits of the local part), phone, card, social security number,
+Kinds: e-mail (letters, in their case, and digits of the local part; the domain stays), phone, card, social security number,
 IPv4 address, date, and access keys (hexadecimal secrets, AWS key ids).  Numbers that fail
 their validation stay as they are.
 
@@ -26,24 +28,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 8
-#: Only a default for tests and demonstrations; a deployment passes its own secret.
-KEY = "change-me"
 
+#: Words that introduce a secret, in any case (fixed values).
+SECRET_WORDS = "(?i:password|passwd|secret|token|api_key|apikey)"
 #: Patterns by kind, first match first (fixed values).
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "key": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
-    "secret": r"(?<=(?:password|passwd|secret|token|api_key|apikey) {0,2}[=:] {0,2}[\x22\x27]?)[0-9a-f]{12,64}(?![0-9A-Za-z])",
+    "secret": rf"(?<={SECRET_WORDS} {{0,2}}[=:] {{0,2}}[\x22\x27]?)[0-9a-f]{{12,64}}(?![0-9A-Za-z])",
     "date": r"(?<![0-9./-])(?:(?:19|20)[0-9]{2}-[01][0-9]-[0-3][0-9]|[0-3][0-9][./](?:0[0-9]|1[0-2])[./](?:19|20)[0-9]{2})(?![0-9/-]|\.[0-9])",
     "ipv4": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
     "phone": r"(?<![0-9])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9])\+[0-9]{8,15}(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
 }
-PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: All of them; the first group is a secret.
+PATTERN = "|".join(f"({p})" if kind == "secret" else f"(?:{p})" for kind, p in PATTERNS.items())
+#: What a text has if any pattern matches in it.
+POSSIBLE = f"[0-9@]|AKIA|{SECRET_WORDS} {{0,2}}[=:]"
 
-#: Days that dates are permuted among: 270 * 271 days from here, until 2100-05-03.
-FIRST_DAY, DAYS = "1900-01-01", (270, 271)
+#: Dates are permuted among the days from the first to before 2100, that is ``SPAN`` of 270 * 271.  A place
+#: beyond is permuted again until it is inside, ``WALK`` times at most: one in 600 is outside, one in 10**22 would stay so.
+FIRST_DAY, DAYS, SPAN, WALK = "1900-01-01", (270, 271), 73_049, 7
 
 
 def _hash(key: str, kind: str, sizes: Column, i: Column, x: Column) -> Column:
@@ -158,14 +164,20 @@ def _date(m: Column, key: str) -> Column:
     sep = F.substring(m, 3, 1)
     day = F.when(iso, m).otherwise(F.concat_ws("-", F.substring(m, 7, 4), F.substring(m, 4, 2), F.substring(m, 1, 2))).try_cast("date")
     n = F.datediff(day, F.lit(FIRST_DAY).cast("date"))
-    pair = feistel(F.floor(n / DAYS[1]), F.pmod(n, F.lit(DAYS[1])), F.lit(DAYS[0]), F.lit(DAYS[1]), key, "date")
+
+    def walk(s: Column, i: Column) -> Column:
+        outside = s["a"] * DAYS[1] + s["b"] >= SPAN
+        return F.when((i == 0) | outside, feistel(s["a"], s["b"], F.lit(DAYS[0]), F.lit(DAYS[1]), key, "date")).otherwise(s)
+
+    place = F.struct(F.floor(n / DAYS[1]).cast("long").alias("a"), F.pmod(n, F.lit(DAYS[1])).cast("long").alias("b"))
+    pair = F.aggregate(F.sequence(F.lit(0), F.lit(WALK)), place, walk)
 
     def written(p: Column) -> Column:
         made = F.date_add(F.lit(FIRST_DAY).cast("date"), (p["a"] * DAYS[1] + p["b"]).cast("int"))
         day_first = F.concat(F.date_format(made, "dd"), sep, F.date_format(made, "MM"), sep, F.date_format(made, "yyyy"))
         return F.when(iso, made.cast("string")).otherwise(day_first)
 
-    inside = day.isNotNull() & (n >= 0) & (n < DAYS[0] * DAYS[1])
+    inside = day.isNotNull() & (n >= 0) & (n < SPAN)
     return F.when(inside, F.get(F.transform(F.array(pair), written), F.lit(0)))
 
 
@@ -173,13 +185,16 @@ _LETTERS, _AS_DIGITS = "abcdefghijklmnopqrstuvwxyz", "0123456789abcdefghijklmnop
 
 
 def _email(m: Column, key: str) -> Column:
-    local, domain = F.substring_index(F.lower(m), "@", 1), F.substring_index(m, "@", -1)
+    given, domain = F.substring_index(m, "@", 1), F.substring_index(m, "@", -1)
+    local = F.lower(given)
     letters = F.translate(F.regexp_replace(local, "[^a-z]", ""), _LETTERS, _AS_DIGITS)
     new = F.translate(permute_text(letters, 26, key, "email"), _AS_DIGITS, _LETTERS)
     local = F.when(letters != "", _put_back(local, "[a-z]", new)).otherwise(local)
     d = _digits(local)
     local = F.when(d != "", _put_back(local, "[0-9]", permute_text(d, 10, key, "email"))).otherwise(local)
-    return F.concat(local, F.lit("@"), domain)
+    every = lambda c: F.split(c, "(?<=.)(?=.)")
+    cased = F.zip_with(every(given), every(local), lambda old, new: F.when(old.rlike("[A-Z]"), F.upper(new)).otherwise(new))
+    return F.concat(F.array_join(cased, ""), F.lit("@"), domain)
 
 
 def _key_id(m: Column, key: str) -> Column:
@@ -197,25 +212,29 @@ _MAKERS = {
 
 
 def kind_of(m: Column) -> Column:
-    """The kind of a match, by its whole text (a secret's introduction lies outside it)."""
-    whole = {k: rf"^(?:{p})$" for k, p in PATTERNS.items() if k != "secret"}
-    cases = [F.when(m.rlike(p), F.lit(k)) for k, p in whole.items()]
-    return F.coalesce(*cases, F.lit("secret"))
+    """The kind of a match that isn't a secret, by its whole text."""
+    return F.coalesce(*[F.when(m.rlike(rf"^(?:{p})$"), F.lit(k)) for k, p in PATTERNS.items() if k != "secret"])
 
 
-def pseudonym(m: Column, key: str = KEY) -> Column:
-    """What stands for a match; null if it isn't valid."""
-    kind = kind_of(m)
+def pseudonym(m: Column, kind: Column, key: str) -> Column:
+    """What stands for a match of a kind; null if it isn't valid."""
     return reduce(lambda c, k: c.when(kind == k, _MAKERS[k](m, key)), _MAKERS, F.when(F.lit(False), m))
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """``doc_id, text, n_replaced, kinds``: texts with pseudonyms; ``kinds`` are those replaced, in order."""
+def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
+    """``doc_id, text, n_replaced, kinds``: texts with pseudonyms; ``kinds`` are those replaced, in order.
+
+    ``key`` is the caller's secret: who has it can undo the permutations.
+    """
     df = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     none = F.array().cast("array<string>")
-    found = F.when(F.col("text").rlike("[0-9@]"), F.regexp_extract_all(F.col("text"), F.lit(PATTERN), F.lit(0))).otherwise(none)
-    df = df.select("doc_id", "text", found.alias("m"))
-    made = F.transform("m", lambda m: F.struct(m.alias("old"), kind_of(m).alias("kind"), pseudonym(m, key).alias("new")))
+    matches = lambda group: F.regexp_extract_all(F.col("text"), F.lit(PATTERN), F.lit(group))
+    found = F.when(F.col("text").rlike(POSSIBLE), matches(0)).otherwise(none)
+    secret = F.when(F.col("text").rlike(SECRET_WORDS), matches(1)).otherwise(none)
+    df = df.select("doc_id", "text", found.alias("m"), secret.alias("s"))
+    kind = lambda m, s: F.when(s != "", "secret").otherwise(kind_of(m))
+    kinds = F.zip_with("m", "s", lambda m, s: F.struct(m.alias("old"), kind(m, s).alias("kind")))
+    made = F.transform(kinds, lambda x: F.struct(x["old"].alias("old"), x["kind"].alias("kind"), pseudonym(x["old"], x["kind"], key).alias("new")))
     df = df.select("doc_id", "text", F.when(F.size("m") > 0, made).alias("m"))
     gaps = F.split("text", PATTERN, -1)
     again = F.zip_with(gaps, F.col("m"), lambda g, m: F.concat(g, F.coalesce(m["new"], m["old"], F.lit(""))))

@@ -14,6 +14,10 @@ from plumbline.llm.common import read
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+#: Known to everyone: results of the registered query protect nothing.
+DEMONSTRATION_KEY = "demonstration"
+
+
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(read(spark, sf_dir, "documents"))
 
@@ -45,7 +49,7 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonyms.pseudonymise(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pseudonyms.pseudonymise(read(spark, sf_dir, "documents").select("doc_id", "text"), DEMONSTRATION_KEY)
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
