@@ -6,14 +6,19 @@ is then a bag of words, each drawn from one of the languages: EM estimates the s
 language set is the one of least penalised likelihood among nested sets (the largest shares
 first), so a few borrowed words don't add a language.  The prediction is the largest share.
 
+Letters of any script take part: the most telling ones have a class each, all others that
+were seen share those classes by a hash.
+
 Edge cases: a text that is null or has no letter gets ``und`` and score 0; letters that no
-language has seen count the same for all of them; ties go to the first language by name;
+language has seen count the same for all of them, and a text of such letters alone gets the
+first language with an even share for a score; ties go to the first language by name;
 labels that are null teach nothing; without any label every text is ``und``.  Very long texts
 are read in slices, so memory doesn't grow with one text.  Other columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,9 +32,11 @@ from plumbline.llm.common import arrow_map, each_batch, text_column, texts
 UNDETERMINED = "und"
 #: Labelled documents that each language learns from, at most.
 TRAINING_DOCUMENTS = 400
+#: Bytes of a text that is learned from, at most; longer texts teach nothing.  With the number above it bounds what the driver holds.
+TRAINING_BYTES = 65_536
 #: Different labels that there may be.
 MAX_LANGUAGES = 1000
-#: Letters of the alphabet that are told apart; rarer ones are one class.
+#: Classes of letters that were seen.
 ALPHABET = 62
 #: Code points that a slice of the letter arrays may hold.
 SLICE = 250_000
@@ -39,8 +46,8 @@ EM_ROUNDS = 8
 #: Words by which a further language must pay for itself, beyond the criterion's log n / 2.
 PENALTY = 6.0
 
-_SIDE = ALPHABET + 2  # 0: boundary, 1: any other letter
-_TOP = 0x3000
+_SIDE = ALPHABET + 2  # 0: boundary, 1: a letter that wasn't seen
+_TOP = 0x110000
 
 
 @dataclass
@@ -52,15 +59,15 @@ class Model:
 
 def _codes(text: str, classes: np.ndarray) -> np.ndarray:
     points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype="<u4")
-    return classes[np.minimum(points, _TOP)]
+    return classes[points].astype(np.int32)
 
 
-def _letter_classes(alphabet: list[str]) -> np.ndarray:
-    out = np.zeros(_TOP + 1, dtype=np.int32)
+def _letter_classes(letters: dict[str, float]) -> np.ndarray:
+    """Class by code point.  ``letters``: those seen, with the greatest share that each has in a language."""
+    out = np.zeros(_TOP, dtype=np.uint8)
     out[[i for i in range(_TOP) if chr(i).isalpha()]] = 1
-    out[_TOP] = 1
-    for k, c in enumerate(alphabet):
-        out[ord(c)] = 2 + k
+    for k, c in enumerate(sorted(letters, key=lambda c: (-letters[c], c))):
+        out[ord(c)] = 2 + (k if k < ALPHABET else (ord(c) * 2654435761 >> 13) % ALPHABET)
     return out
 
 
@@ -77,13 +84,16 @@ def _trigrams(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def learn(rows: list[tuple[str, str]]) -> Model:
     """``rows``: (text, language)."""
     languages = sorted({lang for _, lang in rows})
-    letters: dict[str, int] = {}
-    for text, _ in rows:
-        for c in set(low := text.lower()):
-            if c.isalpha() and ord(c) < _TOP:
-                letters[c] = letters.get(c, 0) + low.count(c)
-    alphabet = sorted(sorted(letters), key=lambda c: -letters[c])[:ALPHABET]
-    classes = _letter_classes(alphabet)
+    seen = {lang: Counter() for lang in languages}
+    for text, lang in rows:
+        seen[lang].update(text.lower())
+    letters: dict[str, float] = {}
+    for found in seen.values():
+        found = {c: n for c, n in found.items() if c.isalpha()}
+        total = sum(found.values())
+        for c, n in found.items():
+            letters[c] = max(letters.get(c, 0.0), n / total)
+    classes = _letter_classes(letters)
     counts = np.zeros((_SIDE**3, len(languages)))
     for text, lang in rows:
         tri, _ = _trigrams(_codes(text, classes))
@@ -167,7 +177,8 @@ def train(docs: DataFrame, per_language: int = TRAINING_DOCUMENTS) -> Model | No
     rank = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = known.select("doc_id", "lang").filter(low).withColumn("_k", F.row_number().over(rank)).filter(F.col("_k") <= per_language)
     chosen = [r["doc_id"] for r in ids.select("doc_id").collect()]
-    rows = known.filter(F.col("doc_id").isin(chosen) & F.col("text").isNotNull()).select("text", "lang").collect() if chosen else []
+    taught = F.col("doc_id").isin(chosen) & (F.octet_length("text") <= TRAINING_BYTES)
+    rows = known.filter(taught).select("text", "lang").collect() if chosen else []
     rows = [(r["text"], r["lang"]) for r in sorted(rows)]
     return learn(rows) if any(any(map(str.isalpha, t)) for t, _ in rows) else None
 
@@ -185,18 +196,20 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
             ts = texts(b, "_text")
             pred, score, shares = [UNDETERMINED] * len(ts), [0.0] * len(ts), [[] for _ in ts]
             todo: list[tuple[int, np.ndarray]] = []
-            held = 0
+            held, blind = 0, set()
             for k, t in enumerate(ts):
                 if t and model and any(map(str.isalpha, t)):
                     logs = word_likelihoods(model, t)
                     if len(logs):
+                        if not np.ptp(logs, axis=1).any():
+                            blind.add(k)
                         todo.append((k, logs))
                         held += len(logs)
                 if todo and (held > WORDS_AT_ONCE or k == len(ts) - 1):
                     got = mixtures(np.concatenate([x for _, x in todo]), np.array([len(x) for _, x in todo]))
                     for (j, _), share in zip(todo, got, strict=True):
                         best = int(share.argmax())
-                        pred[j], score[j] = model.languages[best], min(1.0, float(share[best]))
+                        pred[j], score[j] = model.languages[best], 1 / len(share) if j in blind else min(1.0, float(share[best]))
                         shares[j] = [(lang, float(s)) for lang, s in zip(model.languages, share, strict=True) if s > 0]
                     todo, held = [], 0
             yield pa.RecordBatch.from_arrays(

@@ -2,6 +2,7 @@
 
 import datetime
 import hashlib
+import math
 import random
 import re
 
@@ -59,6 +60,64 @@ def test_language_edge_cases(spark):
 # ---------------------------------------------------------------- chat
 
 
+def _plain_mixture(logs, rounds=8, penalty=6.0):
+    """EM and the choice of a language set, one word and one language at a time."""
+    n, langs = len(logs), range(len(logs[0]))
+    odds = [[math.exp(x - max(row)) for x in row] for row in logs]
+
+    def em(share, rounds):
+        for _ in range(rounds):
+            new = [0.0 for _ in langs]
+            for row in odds:
+                total = sum(s * o for s, o in zip(share, row, strict=True))
+                for k in langs:
+                    new[k] += share[k] * row[k] / total / n
+            share = new
+        return share, sum(math.log(sum(s * o for s, o in zip(share, row, strict=True))) for row in odds)
+
+    full, fit = em([1 / len(langs)] * len(langs), rounds)
+    order = sorted(langs, key=lambda k: -full[k])
+    price = penalty + 0.5 * math.log(n)
+    best, least = full, -fit + (len(langs) - 1) * price
+    for size in range(len(langs) - 1, 0, -1):
+        share = [full[k] if k in order[:size] else 0.0 for k in langs]
+        share = [x / sum(share) for x in share]
+        share, fit = em(share, rounds // 2 if size > 1 else 0)
+        if -fit + (size - 1) * price <= least:
+            best, least = share, -fit + (size - 1) * price
+    return best
+
+
+def test_mixtures_equal_plain_em():
+    rng = np.random.default_rng(3)
+    docs = []
+    for n in (1, 5, 40, 200):
+        for kinds in (1, 2, 3):
+            true = rng.integers(0, kinds, size=n)
+            logs = rng.normal(-12, 1, size=(n, 4))
+            logs[np.arange(n), true] += 5
+            docs.append(logs.astype(np.float32))
+    got = language.mixtures(np.concatenate(docs), np.array([len(d) for d in docs]))
+    for share, logs in zip(got, docs, strict=True):
+        assert np.allclose(share, _plain_mixture(logs.tolist()), atol=2e-3)
+
+
+def test_scripts(spark):
+    rng = random.Random(4)
+    run = lambda first, n: [chr(first + k) for k in range(n)]
+    scripts = {
+        "el": run(0x3B1, 24), "ru": run(0x430, 32), "ar": run(0x627, 28), "hi": run(0x915, 36), "ko": run(0xAC00, 900),
+        "ja": run(0x3042, 70) * 12 + run(0x4E00, 500), "zh": run(0x4E00, 3000), "en": list("etaoinshrdlucmfwypvbgk"),
+    }
+    weights = {k: [1 / (i + 1) ** 0.7 for i in range(len(v))] for k, v in scripts.items()}
+    say = lambda k: "".join(rng.choices(scripts[k], weights[k], k=rng.randint(2, 7)))
+    rows = [(i, " ".join(say(k) for _ in range(60)), k) for i, k in enumerate(sorted(scripts) * 30)]
+    rows += [(len(rows), chr(0x10A0) * 9, None), (len(rows) + 1, "\U0001f600 \u3012 12", None)]
+    got = {r["doc_id"]: r for r in language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert sum(got[i]["lang_pred"] == k for i, _, k in rows[:-2]) >= 0.97 * (len(rows) - 2)
+    assert got[rows[-2][0]]["score"] == pytest.approx(1 / 8) and got[rows[-1][0]]["lang_pred"] == "und"
+
+
 def test_chat_equals_oracle(spark, duck):
     same(queries.op2_chat_format(spark, str(DATA)), duck.sql(chat.ORACLE_SQL))
 
