@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -17,10 +18,6 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def session(df: DataFrame) -> SparkSession:
-    return df.sparkSession
-
-
 def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
@@ -29,40 +26,47 @@ class Workspace:
     """Written tables in the folder of ``spark.checkpoint.dir``, which every executor shares.
 
     A written table cuts lineage the way ``checkpoint()`` does, but stays columnar and
-    survives the loss of any executor.  Where the setting is absent (tests, a laptop) a
-    folder under the session's warehouse is used.
+    survives the loss of any executor.  Where the setting is absent a local session (tests, a
+    laptop) uses a folder under its warehouse; on a cluster that is an error, for executors
+    would write where no one reads.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         root = spark.conf.get("spark.checkpoint.dir", None)
+        if not root and not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = root or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
         self.root = f"{root.rstrip('/')}/{uuid.uuid4().hex}"
         self._n = 0
+        self._paths: list[str] = []
 
     def write(self, df: DataFrame) -> DataFrame:
         self._n += 1
         path = f"{self.root}/t{self._n}"
         df.write.parquet(path)
+        self._paths.append(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._workspace_path = path
         return out
 
     def drop(self, df: DataFrame) -> None:
-        path = getattr(df, "_workspace_path", None)
-        if path:
-            jvm = self.spark._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+        """Deletes a table that was written here."""
+        self._delete(df._workspace_path)
 
+    def keep_only(self, *kept: DataFrame) -> None:
+        """Deletes all tables but those that a result still reads."""
+        for path in set(self._paths) - {df._workspace_path for df in kept}:
+            self._delete(path)
 
-def texts(batch: pa.RecordBatch, column: str = "text") -> list[str | None]:
-    return batch.column(batch.schema.get_field_index(column)).to_pylist()
+    def _delete(self, path: str) -> None:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+        self._paths.remove(path)
 
 
-def fits_broadcast(df: DataFrame, max_rows: int) -> bool:
-    """True if ``df`` has at most ``max_rows`` rows; reads no more than one row beyond that."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def texts(batch: pa.RecordBatch, column: str = "text") -> list[str | None]:
+    return batch.column(batch.schema.get_field_index(column)).to_pylist()
 
 
 def arrow_map(df: DataFrame, fn, schema: str) -> DataFrame:

@@ -230,7 +230,3 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, max
 
     cut = kept.mapInArrow(run, kept.select("_keep", "_text").schema)
     return cut.select(*[F.col("_text").alias("text") if c == "text" else F.col(f"_keep.`{c}`").alias(c) for c in docs.columns])
-
-
-def items_digest(ids: list) -> str:
-    return hashlib.sha256(",".join(sorted(map(str, ids))).encode()).hexdigest()

@@ -250,6 +250,7 @@ def components(docs: DataFrame, size: int = SHINGLE, distance: int = DISTANCE) -
     placed = fps.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
     labels = ws.write(placed.join(least, "root").select("fp", "component_id"))
+    ws.keep_only(prints, labels)
     return prints.join(labels, "fp").select("doc_id", "fp", "component_id")
 
 
