@@ -14,7 +14,6 @@ documents clean.  Other columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 from itertools import chain, repeat

@@ -1,9 +1,11 @@
 """Operator 9: licence scans by Dice coefficient over word bigrams.
 
 A template and a passage are compared by their sets of normalised word bigrams.  A passage
-is a run of consecutive lines.  Dice can reach ``SIMILARITY`` only if the sizes of both sets
-lie within a factor of each other, so each run meets only templates inside its size bounds.
-Runs of several lines are tried where their lines share enough bigrams with a template.
+is a run of consecutive words, wherever it begins and ends, across lines too.  Dice can reach
+``SIMILARITY`` only if the sizes of both sets lie within a factor of each other, so a template
+meets only runs inside its size bounds, and only where enough different bigrams of it lie
+close together.  A run is at most as many words longer than its template as its set may be
+larger.  The work grows with the text's words, however they repeat.
 
 Edge cases: null, empty and blank texts have no licence; a passage of one word has no bigram
 and matches nothing; ties go to the first template by name; repeated rows give repeated
@@ -13,6 +15,7 @@ rows; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -94,67 +97,100 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
 _WORD = re.compile(r"[a-z0-9]+")
 
 
-def bigrams(text: str) -> frozenset[tuple[str, str]]:
-    """Normalised word bigrams: lower case, letters and digits, one spelling of licence."""
-    ws = ["license" if w == "licence" else "licensed" if w == "licenced" else w for w in _WORD.findall(text.lower())]
-    return frozenset(zip(ws, ws[1:], strict=False))
+#: Spellings that count as one (fixed values).
+_SPELLINGS = {"licence": "license", "licenced": "licensed", "licences": "licenses"}
 
 
-def dice(a: frozenset, b: frozenset) -> float:
-    return 2 * len(a & b) / (len(a) + len(b)) if a or b else 0.0
+def _words(text: str) -> list[tuple[str, int, int]]:
+    """Normalised words (lower case, letters and digits) and where they begin and end."""
+    return [(_SPELLINGS.get(m[0], m[0]), m.start(), m.end()) for m in _WORD.finditer(_lower(text))]
+
+
+def _lower(text: str) -> str:
+    """Lower case, character by character, so that places stay."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower()[0] for c in text)
+
+
+def bigrams(text: str) -> list[tuple[str, str]]:
+    """Word bigrams in order, repeats included."""
+    ws = [w for w, _, _ in _words(text)]
+    return list(zip(ws, ws[1:], strict=False))
 
 
 class Scanner:
     def __init__(self, templates: dict[str, tuple[str, ...]] = TEMPLATES, similarity: float = SIMILARITY):
         self.similarity = similarity
-        self.known = [(name, bigrams(t)) for name, ts in sorted(templates.items()) for t in ts]
-        self.bounds = [self._bounds(len(b)) for _, b in self.known]
+        grams = [(name, bigrams(t)) for name, ts in sorted(templates.items()) for t in ts]
+        self.known = [(name, frozenset(g)) for name, g in grams]
+        factor = (2 - similarity) / similarity
+        #: Least and greatest size of a set that can reach the similarity, and positions of the longest run.
+        self.bounds = [(len(set(g)) / factor - 1e-9, len(set(g)) * factor + 1e-9, int(len(g) * factor + 1e-9)) for _, g in grams]
         self.owners: dict[tuple[str, str], list[int]] = {}
         for k, (_, b) in enumerate(self.known):
             for x in b:
                 self.owners.setdefault(x, []).append(k)
-        self.firsts = {x for x, _ in self.owners}
 
-    def _bounds(self, n: int) -> tuple[float, float]:
-        """Sizes of a set that can reach the similarity with one of n."""
-        return n * self.similarity / (2 - self.similarity) - 1e-9, n * (2 - self.similarity) / self.similarity + 1e-9
+    def _starts(self, hits: list[int], grams: list[tuple[str, str]], low: float, reach: int) -> Iterator[int]:
+        """Hits from which at least ``low`` different bigrams of the template lie within reach."""
+        inside: dict[tuple[str, str], int] = {}
+        to = 0
+        for at in hits:
+            while to < len(hits) and hits[to] < at + reach:
+                inside[grams[hits[to]]] = inside.get(grams[hits[to]], 0) + 1
+                to += 1
+            if len(inside) >= low:
+                yield at
+            inside[grams[at]] -= 1
+            if not inside[grams[at]]:
+                del inside[grams[at]]
+
+    def _best_from(self, at: int, grams: list[tuple[str, str]], k: int) -> tuple[float, int]:
+        """The highest Dice of a run that begins at a bigram, and the run's last bigram."""
+        _, b = self.known[k]
+        low, high, reach = self.bounds[k]
+        seen: set[tuple[str, str]] = set()
+        common, best, last = 0, 0.0, at
+        for to in range(at, min(at + reach, len(grams))):
+            x = grams[to]
+            if x not in seen:
+                seen.add(x)
+                common += x in b
+            if len(seen) > high:
+                break
+            if x in b and len(seen) >= low and (d := 2 * common / (len(seen) + len(b))) > best:
+                best, last = d, to
+        return best, last
 
     def scan(self, text: str) -> list[tuple[int, int, str, float]]:
-        """Matches ``(first line, line after the last, licence, Dice)``, the best ones that don't overlap, in order."""
-        lines = text.split("\n")
-        grams: dict[int, frozenset] = {}
-        shared: dict[int, dict[int, int]] = {}
-        for at, line in enumerate(lines):
-            g = bigrams(line)
-            grams[at] = g
-            for x in g & self.owners.keys() if len(g) < len(self.owners) else self.owners.keys() & g:
-                for k in self.owners[x]:
-                    of = shared.setdefault(k, {})
-                    of[at] = of.get(at, 0) + 1
+        """Matches ``(first character, character after the last, licence, Dice)``, the best ones that don't overlap, in order."""
+        words = _words(text)
+        grams = [(a[0], b[0]) for a, b in zip(words, words[1:], strict=False)]
+        hits: dict[int, list[int]] = {}
+        for at, x in enumerate(grams):
+            for k in self.owners.get(x, ()):
+                hits.setdefault(k, []).append(at)
         found = []
-        for k, of in shared.items():
-            name, b = self.known[k]
-            low, high = self.bounds[k]
-            if sum(of.values()) < self.similarity * (len(b) + low) / 2:
-                continue
-            for at in of:
-                run: frozenset = frozenset()
-                for to in range(at, len(lines)):
-                    run |= grams[to]
-                    if len(run) > high:
-                        break
-                    if len(run) >= low and to in of and (d := dice(run, b)) >= self.similarity:
-                        found.append((at, to + 1, name, d))
+        for k, places in hits.items():
+            low, _, reach = self.bounds[k]
+            for at in self._starts(places, grams, low, reach):
+                d, last = self._best_from(at, grams, k)
+                if d >= self.similarity:
+                    found.append((words[at][1], words[last + 1][2], self.known[k][0], d))
         out: list[tuple[int, int, str, float]] = []
         for m in sorted(found, key=lambda m: (-m[3], m[2], m[0], m[1])):
-            if all(m[1] <= o[0] or o[1] <= m[0] for o in out):
-                out.append(m)
-        return sorted(out)
+            i = bisect_left(out, m[:1])
+            if (i == 0 or out[i - 1][1] <= m[0]) and (i == len(out) or m[1] <= out[i][0]):
+                out.insert(i, m)
+        return out
 
 
 def scan(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``doc_id, license, dice, n_licenses, matches``: the best match of every document, null without one."""
-    fields = "first_line: int, end_line: int, license: string, dice: double"
+    """``doc_id, license, dice, n_licenses, matches``: the best match of every document, null without one.
+
+    A match has the characters from ``start`` to before ``end`` of the text.
+    """
+    fields = "start: int, end: int, license: string, dice: double"
     schema = f"doc_id bigint, license string, dice double, n_licenses bigint, matches array<struct<{fields}>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,8 +198,8 @@ def scan(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         for b in each_batch(batches):
             found = [scanner.scan(t) if t else [] for t in texts(b)]
             best = [min(m, key=lambda x: (-x[3], x[2])) if m else (0, 0, None, None) for m in found]
-            row = pa.struct([("first_line", pa.int32()), ("end_line", pa.int32()), ("license", pa.string()), ("dice", pa.float64())])
-            names = ("first_line", "end_line", "license", "dice")
+            row = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("license", pa.string()), ("dice", pa.float64())])
+            names = ("start", "end", "license", "dice")
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column(0),
