@@ -106,7 +106,7 @@ WITH rows AS (
 ), turns AS (
   SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS before FROM rows
 ), sized AS (
-  SELECT *, length(text) + 3 - 3 + length(text) - length(replace(text, '\', ''))
+  SELECT *, length(text) + length(text) - length(replace(text, '\', ''))
        + length(text) - length(replace(text, '<', '')) + length(text) - length(replace(text, '>', '')) AS body,
     length(role) + length(role) - length(replace(role, '\', '')) + length(role) - length(replace(role, '<', ''))
        + length(role) - length(replace(role, '>', '')) AS name

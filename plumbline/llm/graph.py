@@ -1,8 +1,9 @@
 """Connected components as DataFrame operations: alternating large and small stars.
 
-Every round is two aggregations with map-side combine and two equi joins, so no hub's
-neighbour list ever meets in one task, and nothing goes to the driver but a count and a
-checksum.  Each round is written to the shared workspace, which cuts the lineage.
+Every round is two aggregations with map-side combine and two equi joins; no neighbour list is
+ever gathered in a row, and nothing goes to the driver but a count and a checksum.  The links of
+a hub share a join key; that they are split over several tasks is left to the adaptive
+skew join.  Each round is written to the shared workspace, which cuts the lineage.
 """
 
 from __future__ import annotations

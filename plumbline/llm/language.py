@@ -228,6 +228,7 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def reject(docs: DataFrame, model: Model | None) -> DataFrame:
-    """``docs`` without those whose language can't be told (no text, no letter)."""
+    """``docs`` without those whose language can't be told (no text, no letter); a null ``lang`` becomes the prediction."""
     found = predict(docs, model).filter(F.col("lang_pred") != UNDETERMINED)
-    return found.select(*[F.col("_text").alias("text") if c == "text" else F.col(f"_keep.`{c}`").alias(c) for c in docs.columns])
+    made = {"text": F.col("_text"), "lang": F.coalesce(F.col("_keep.`lang`").cast("string"), "lang_pred")}
+    return found.select(*[made.get(c, F.col(f"_keep.`{c}`")).alias(c) for c in docs.columns])

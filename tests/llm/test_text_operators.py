@@ -55,6 +55,8 @@ def test_language_edge_cases(spark):
     unlabelled = language.identify(df.withColumn("lang", F.lit(None).cast("string")))
     assert {r["lang_pred"] for r in unlabelled.collect()} == {"und"}
     kept = language.reject(df, language.train(df))
+    blank = language.reject(df.withColumn("lang", F.when(F.col("doc_id") % 2 == 0, F.col("lang"))), language.train(df))
+    assert blank.filter("lang is null").count() == 0 and blank.count() == kept.count()
     assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 1, 9]
 
 
