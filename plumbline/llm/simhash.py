@@ -14,6 +14,12 @@ are implied by those kept.  A cell with more than ``CELL_BLOCK`` fingerprints is
 blocks, and every pair of blocks is a row of work of its own, so a crowded cell is neither
 held in one task nor cut.  Components come from :mod:`plumbline.llm.graph`.
 
+:func:`keep_one_similar` takes similarity of word shingles instead of a number of bits.  Its
+candidates are the links above, over shingles of five words, and texts that share a cell in the
+MinHash bands of :mod:`plumbline.llm.lines`: at similarity 0.8 fingerprints differ in ten bits
+of 64 on average, where no grid is selective.  All candidates are verified by exact Jaccard
+similarity of the distinct shingles.
+
 Edge cases: null, empty and blank texts have fingerprint zero, which links like any other;
 texts under three words have one shingle; repeated rows are in one component; an empty table
 gives an empty result.  Other columns are ignored.
@@ -21,15 +27,17 @@ gives an empty result.  Other columns are ignored.
 
 from __future__ import annotations
 
+import string
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm import lines
 from plumbline.llm.common import Workspace, arrow_map, each_batch, text_column, texts
 from plumbline.llm.graph import connected_components
 
@@ -39,6 +47,10 @@ SEED = 42
 #: Axis groups of the grid, as numbers of 2-bit segments.
 GROUPS = (6, 6, 5, 5, 5, 5)
 CELL_BLOCK = 2048
+#: Words in a shingle and least similarity of near-duplicates where no number of bits is asked for.
+WORDS, SIMILARITY = 5, 0.8
+#: Shingles that are hashed at a time; a long text takes several turns.
+CHUNK = 20_000
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -261,5 +273,110 @@ def keep_one(docs: DataFrame, size: int = SHINGLE, distance: int = DISTANCE) ->
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
 
 
+# ---------------------------------------------------------------- similar texts
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _sketch(text: str, size: int, orders: np.ndarray) -> tuple[int, np.ndarray]:
+    """SimHash and MinHash lanes (-1: no shingle in the group) of a text of words with one space between."""
+    words = text.encode("utf-8", "surrogatepass").split(b" ") if text else []
+    lanes = np.full((lines.GROUPS, lines.MINIMA), -1, dtype=np.int64)
+    if not words:
+        return 0, lanes.ravel()
+    w = np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in words), dtype=np.uint64, count=len(words))
+    n = max(1, len(w) - size + 1)
+    least = np.full(lanes.shape, np.iinfo(np.uint64).max, dtype=np.uint64)
+    over = np.zeros(64, dtype=np.int64)
+    for at in range(0, n, CHUNK):
+        m = min(CHUNK, n - at)
+        h = np.zeros(m, dtype=np.uint64)
+        for k in range(min(size, len(w))):
+            h = h * np.uint64(0x9E3779B97F4A7C15) + w[at + k : at + k + m]
+        h = _mixed(h)
+        over += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        group = (h & np.uint64(lines.GROUPS - 1)).astype(np.int64)
+        order = np.argsort(group, kind="stable")
+        present, starts = np.unique(group[order], return_index=True)
+        least[present] = np.minimum(least[present], np.minimum.reduceat(h[order, None] ^ orders, starts, axis=0))
+        # the lowest bits are the group's, and the highest are near 0 in every minimum
+        lanes[present] = ((least[present] >> np.uint64(16)) & np.uint64(0xFFFF)).astype(np.int64)
+    return int.from_bytes(np.packbits(2 * over > n, bitorder="little").tobytes(), "little"), lanes.ravel()
+
+
+def _sketched(docs: DataFrame, ws: Workspace, size: int) -> DataFrame:
+    """``id, k1, k2, doc, occurrences, fp, cells, q`` of every distinct text, as the line operator has them of lines."""
+    bands = np.array(lines.bands())
+    packed = np.array(lines.packed_lanes())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        orders = np.array([m % (1 << 64) for m in lines.masks(lines.MINIMA)], dtype=np.uint64)
+        for b in each_batch(batches):
+            sketches = [_sketch(t, size, orders) for t in texts(b, "line")]
+            fp = np.array([x for x, _ in sketches], dtype=np.uint64).view(np.int64)
+            lanes = np.stack([x for _, x in sketches])
+            of = lanes[:, bands]
+            x = np.broadcast_to(np.arange(1, len(bands) + 1, dtype=np.uint64), of.shape[:2])
+            for k in range(of.shape[2]):
+                x = _mixed(x * np.uint64(0x9E3779B97F4A7C15) + of[:, :, k].astype(np.uint64))
+            cells = pa.array(x.view(np.int64).ravel(), mask=(of < 0).all(axis=2).ravel())
+            ends = pa.array(np.arange(len(lanes) + 1, dtype=np.int32) * len(bands))
+            twos = (np.maximum(lanes[:, packed], 0) & 3).astype(np.uint64) << (2 * np.arange(len(packed), dtype=np.uint64))
+            q = np.bitwise_or.reduce(twos, axis=1).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [*(b.column(k) for k in range(3)), pa.array(fp), pa.ListArray.from_arrays(ends, cells), pa.array(q)],
+                names=["doc_id", "k1", "k2", "fp", "cells", "q"],
+            )
+
+    rows = arrow_map(_normalised(docs).select("doc_id", *lines.keys(), "line"), run, "doc_id bigint, k1 bigint, k2 bigint, fp bigint, cells array<bigint>, q bigint")
+    own = [F.first(c).alias(c) for c in ("fp", "cells", "q")]
+    distinct = rows.groupBy("k1", "k2").agg(F.min("doc_id").alias("doc"), F.count("*").alias("occurrences"), *own)
+    return ws.write(distinct.select(F.monotonically_increasing_id().alias("id"), "*"))
+
+
+def _normalised(docs: DataFrame) -> DataFrame:
+    """``doc_id, line``: the lower-cased words with one space between."""
+    lower = F.translate(F.coalesce("text", F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
+    line = F.trim(F.regexp_replace(lower, r"[\x20\x09-\x0D]+", " "))
+    return text_column(docs).select(F.col("doc_id").cast("long").alias("doc_id"), line.alias("line"))
+
+
+def _word_shingles(size: int) -> lines.Shingles:
+    def every(line: str) -> Column:
+        at = lambda w: F.sequence(F.lit(0), F.greatest(F.size(w) - size, F.lit(0)))
+        return lines.let(F.split(line, " "), lambda w: F.transform(at(w), lambda i: F.xxhash64(F.slice(w, i + 1, F.lit(size)))))
+
+    return every
+
+
+def _print_pairs(sig: DataFrame, ws: Workspace, distance: int) -> DataFrame:
+    """Pairs ``(a, b)`` of ids that connect all texts whose fingerprints are within the distance."""
+    reps = ws.write(sig.groupBy("fp").agg(F.min("id").alias("rep")))
+    equal = sig.join(reps, "fp").filter("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
+    links = near_links(reps, ws, distance)
+    for c in "ab":
+        links = links.join(reps.select(F.col("fp").alias(c), F.col("rep").alias(f"{c}_id")), c)
+    return equal.unionByName(links.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b")))
+
+
+def keep_one_similar(docs: DataFrame, similarity: float = SIMILARITY, size: int = WORDS, distance: int = DISTANCE) -> DataFrame:
+    """``docs`` with the document of smallest id of every group linked by Jaccard similarity of word shingles.
+
+    Texts of equal words are one text, those without words among them.  A text of fewer words
+    than a shingle is one shingle.  Rows that share the id of a document that stays, stay.
+    """
+    ws = Workspace(docs.sparkSession)
+    sig = _sketched(docs, ws, size)
+    roots = lines.similar_roots(_normalised(docs), sig, ws, similarity, _word_shingles(size), _print_pairs(sig, ws, distance))
+    placed = sig.join(roots, F.col("id") == F.col("node"), "left").select(F.coalesce("root", "id").alias("root"), "doc")
+    kept = ws.write(placed.groupBy("root").agg(F.min("doc").alias("_kept")).select("_kept").distinct())
+    ws.keep_only(kept)
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
+
+
 def hex_print(fp):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))

@@ -81,6 +81,74 @@ def test_fingerprints_and_components_equal_brute_force(spark):
     assert simhash.components(df.limit(0)).count() == 0
 
 
+def _five(text):
+    ws = re.findall("[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))}
+
+
+def _jaccard(a, b):
+    return len(a & b) / len(a | b)
+
+
+def _edit(words, rng, vocabulary, n):
+    words = list(words)
+    for _ in range(n):
+        k, kind = rng.randrange(len(words)), rng.randrange(3)
+        words[k : k + (kind < 2)] = [rng.choice(vocabulary)] if kind else []
+    return words
+
+
+def _kept_ids(spark, rows):
+    df = spark.createDataFrame(rows, "doc_id long, text string, fp string, id long, line string")
+    kept = simhash.keep_one_similar(df)
+    assert kept.columns == df.columns
+    return sorted(r["doc_id"] for r in kept.collect())
+
+
+def test_similar_documents_against_brute_force(spark):
+    rng = random.Random(5)
+    vocabulary = [f"w{k}" for k in range(500)]
+    rows, pairs, alike = [], 0, set()
+    while pairs < 150:
+        base = [rng.choice(vocabulary) for _ in range(rng.randint(30, 400))]
+        other = _edit(base, rng, vocabulary, max(1, len(base) // rng.randint(35, 60)))
+        j = _jaccard(_five(" ".join(base)), _five(" ".join(other)))
+        if 0.8 <= j <= 0.9 or (j < 0.8 and rng.random() < 0.2):
+            pairs += j >= 0.8
+            alike |= {2 * len(rows) + 1} if j >= 0.8 else set()
+            rows.append((" ".join(base), "\n ".join(other).upper()))
+    table = [(2 * k + e, t, "f", 0, "l") for k, pair in enumerate(rows) for e, t in enumerate(pair)]
+    gone = set(range(len(table))) - set(_kept_ids(spark, table))
+    assert gone <= alike and len(gone) >= 0.95 * len(alike) and len(alike) < len(rows)
+
+
+def test_similar_documents_in_a_crowd(spark):
+    """Near copies of one text, of which many are only linked through others, and texts that share half of it."""
+    rng = random.Random(6)
+    vocabulary = [f"w{k}" for k in range(500)]
+    base = [rng.choice(vocabulary) for _ in range(150)]
+    texts = [" ".join(_edit(base, rng, vocabulary, rng.randint(0, 6))) for _ in range(120)]
+    texts += [" ".join(base[:75] + [rng.choice(vocabulary) for _ in range(75)]) for _ in range(30)]
+    sets = [_five(t) for t in texts]
+    roots = _roots(len(texts), [(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if _jaccard(sets[a], sets[b]) >= 0.8])
+    want = sorted({*roots})
+    got = _kept_ids(spark, [(k, t, None, None, None) for k, t in enumerate(texts)])
+    assert set(want) <= set(got) and len(got) <= len(want) + 2
+
+
+def test_similar_documents_edge_cases(spark):
+    long = " ".join(f"w{k % 977}x{k % 31}" for k in range(45_000))
+    texts = [None, "", " \n\t", "one TWO", "ONE\ntwo ", "one two three", long, long + " end", "漢字 かな", "漢字  かな", "A b c d e", "a B c d e f"]
+    rows = [(k + 1, t, "f", 1, "l") for k, t in enumerate(texts)]
+    # rows without an id, or with one that repeats, stay where any document of that id does
+    rows += [(None, "one two", "f", 1, "l"), (None, "nothing else like it", "f", 1, "l"), (4, "quite another text", "f", 1, "l")]
+    kept = simhash.keep_one_similar(spark.createDataFrame(rows, "doc_id long, text string, fp string, id long, line string"))
+    assert sorted((r["doc_id"] or 0) for r in kept.collect()) == [0, 0, 1, 4, 4, 6, 7, 9, 11, 12]
+    empty = spark.createDataFrame([], "doc_id long, text string, fp string, id long, line string")
+    assert simhash.keep_one_similar(empty).count() == 0
+    assert simhash.keep_one_similar(spark.createDataFrame([(1, None), (2, None)], "doc_id long, text void")).count() == 1
+
+
 def test_crowded_cells_lose_no_link(spark):
     rng = random.Random(3)
     centre = rng.getrandbits(64)
@@ -264,8 +332,8 @@ def test_pipeline(spark):
     counts = [d.count() for d in seen]
     assert counts == sorted(counts, reverse=True)
     # near-duplicates: of brute-force groups of what came in, the smallest id stays
-    came = sorted((r["doc_id"], _print(r["text"])) for r in seen[2].collect())
-    links = [(a, b) for a, b in itertools.combinations(range(len(came)), 2) if (came[a][1] ^ came[b][1]).bit_count() <= 3]
+    came = sorted((r["doc_id"], _five(r["text"])) for r in seen[2].collect())
+    links = [(a, b) for a, b in itertools.combinations(range(len(came)), 2) if _jaccard(came[a][1], came[b][1]) >= 0.8]
     roots = _roots(len(came), links)
     assert sorted(r["doc_id"] for r in seen[3].select("doc_id").collect()) == [came[i][0] for i, r in enumerate(roots) if i == r]
     packed = corpus_pipeline.STAGES[-1][1](spark, seen[-1], str(DATA))
