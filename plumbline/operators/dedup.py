@@ -18,15 +18,18 @@ def content_id(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield s.map(lambda v: None if v is None else hashlib.blake2b(v.encode() if isinstance(v, str) else bytes(v), digest_size=8).hexdigest())
 
 
-def exact_groups(records: DataFrame, digest: str) -> DataFrame:
+def exact_groups(records: DataFrame, digest: str, nulls: bool = False) -> DataFrame:
     """``duplicate_group_id, digest, group_size`` of digests that occur twice or more, numbered in digest order.
 
+    With ``nulls`` missing digests are a group too, the last one.  Numbers have four digits or more.
+
     Numbers come from a count of smaller digests by range, so no sort meets in one task:
     digests are ranked inside buckets of their leading characters, and the buckets' sizes add up.
     """
-    sizes = records.filter(F.col(digest).isNotNull()).groupBy(digest).agg(F.count("*").alias("group_size")).filter("group_size > 1")
-    sizes = sizes.withColumn("_bucket", F.substring(digest, 1, 2))
-    per = sizes.groupBy("_bucket").agg(F.count("*").alias("_n"))  # at most 256 rows for hex digests
+    known = records if nulls else records.filter(F.col(digest).isNotNull())
+    sizes = known.groupBy(digest).agg(F.count("*").alias("group_size")).filter("group_size > 1")
+    sizes = sizes.withColumn("_bucket", F.coalesce(F.substring(digest, 1, 2), F.lit("\U0010ffff")))  # nulls come last
+    per = sizes.groupBy("_bucket").agg(F.count("*").alias("_n"))  # at most 257 rows for hex digests
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     rank = F.row_number().over(Window.partitionBy("_bucket").orderBy(digest))
     out = sizes.withColumn("_r", rank).join(per.select("_bucket", before.alias("_before")), "_bucket")

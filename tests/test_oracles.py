@@ -20,7 +20,7 @@ def test_rows_only_query_is_repeatable(spark, name):
     assert first and first == again
 
 
-@pytest.mark.parametrize("name", ["duplicate_membership"])
+@pytest.mark.parametrize("name", ["exact_duplicate_groups", "duplicate_membership"])
 def test_group_numbers_of_five_digits_and_null_texts_equal_oracle(spark, tmp_path, name):
     path = f"{tmp_path}/documents.parquet"
     duckdb.sql(f"COPY (SELECT i AS doc_id, CASE WHEN i >= 5 THEN (i // 2)::VARCHAR END AS text, 'en' AS lang, 's' AS source, 1::BIGINT AS n_chars FROM range(20200) r(i)) TO '{path}'")
