@@ -373,9 +373,12 @@ def keep_one_similar(docs: DataFrame, similarity: float = SIMILARITY, size: int
     sig = _sketched(docs, ws, size)
     roots = lines.similar_roots(_normalised(docs), sig, ws, similarity, _word_shingles(size), _print_pairs(sig, ws, distance))
     placed = sig.join(roots, F.col("id") == F.col("node"), "left").select(F.coalesce("root", "id").alias("root"), "doc")
-    kept = ws.write(placed.groupBy("root").agg(F.min("doc").alias("_kept")).select("_kept").distinct())
-    ws.keep_only(kept)
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
+    kept = placed.groupBy("root").agg(F.min("doc").alias("_kept")).select("_kept").distinct()
+    ids = docs.select(F.col("doc_id").cast("long").alias("_id")).distinct()
+    gone = ws.write(ids.join(kept, F.col("_id").eqNullSafe(F.col("_kept")), "left_anti"))
+    ws.keep_only(gone)
+    # few documents go, so that their ids can be broadcast and no text is shuffled
+    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["_id"]), "left_anti")
 
 
 def hex_print(fp):

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from plumbline.llm import graph, lines, simhash
-from plumbline.llm.common import Workspace
+from plumbline.llm.common import SHUFFLE_CLEANUP, Workspace
 from tests.conftest import DATA
 
 
@@ -340,3 +340,30 @@ def test_pipeline(spark):
     assert packed.select("doc_id").distinct().count() == counts[-1]
     assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).filter("n > 4096").count() == 0
     assert corpus_pipeline.run(spark, str(DATA)).count() == packed.count()
+
+
+def _shuffle_files(spark):
+    found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {found.apply(k).getName() for k in range(found.size())}
+
+
+def test_shuffle_files_go_with_the_write_that_made_them(spark):
+    ws, before, setting = Workspace(spark), _shuffle_files(spark), spark.conf.get(SHUFFLE_CLEANUP, None)
+    df = ws.write(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).agg(F.count("*").alias("n")))
+    left = {f for f in _shuffle_files(spark) - before if f.startswith("shuffle_")}
+    assert df.count() == 7 and not left and spark.conf.get(SHUFFLE_CLEANUP, None) == setting
+
+
+def test_few_near_duplicates_go_without_a_shuffle_of_texts(spark):
+    rows = [(k, " ".join(str((k * 7919 + j * j) % 100_003) for j in range(12))) for k in range(3000)]
+    rows += [(3000, rows[5][1]), (None, rows[5][1]), (None, "w"), (7, rows[5][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "8k")
+    try:
+        out = simhash.keep_one_similar(docs)
+        assert "BroadcastHashJoin" in out._jdf.queryExecution().executedPlan().toString()
+        got = sorted(r["doc_id"] for r in out.collect() if r["doc_id"] is not None)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == sorted([*range(3000), 7])
+    assert out.filter("doc_id is null").count() == 2
