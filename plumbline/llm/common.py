@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch for Python workers.  Bounds a worker's memory when rows hold whole texts.
 ARROW_ROWS = 250
+#: Narrow rows in a file of a table whose number of rows is known.
+FILE_ROWS = 100_000
 #: A setting of Spark: a query's shuffle files go when it ends.
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -44,11 +46,12 @@ class Workspace:
         self._n = 0
         self._paths: list[str] = []
 
-    def write(self, df: DataFrame) -> DataFrame:
+    def write(self, df: DataFrame, rows: int | None = None) -> DataFrame:
+        """``df`` as it is read again; narrow tables of about ``rows`` rows come in one file for each ``FILE_ROWS``."""
         self._n += 1
         path = f"{self.root}/t{self._n}"
         with self._shuffles_end():
-            df.write.parquet(path)
+            (df if rows is None else df.coalesce(1 + rows // FILE_ROWS)).write.parquet(path)
         self._paths.append(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._workspace_path = path

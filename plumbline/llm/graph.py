@@ -68,7 +68,7 @@ def connected_components(edges: DataFrame, ws: Workspace) -> DataFrame:
     if before[0] == 0:
         return e.select(F.col("b").alias("node"), F.col("a").alias("root"))
     for _ in range(MAX_ROUNDS):
-        nxt = ws.write(_small_star(_large_star(e)))
+        nxt = ws.write(_small_star(_large_star(e)), before[0])
         ws.drop(e)
         e, after = nxt, _state(nxt)
         if after == before:

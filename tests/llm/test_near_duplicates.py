@@ -354,6 +354,15 @@ def test_shuffle_files_go_with_the_write_that_made_them(spark):
     assert df.count() == 7 and not left and spark.conf.get(SHUFFLE_CLEANUP, None) == setting
 
 
+def test_few_links_come_in_one_file(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = graph.connected_components(spark.createDataFrame([(k, k + 1) for k in range(0, 90, 3)], "a long, b long"), Workspace(spark))
+        assert len(got.inputFiles()) == 1 and {(r["node"], r["root"]) for r in got.collect()} == {(k + j, k) for k in range(0, 90, 3) for j in (0, 1)}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_few_near_duplicates_go_without_a_shuffle_of_texts(spark):
     rows = [(k, " ".join(str((k * 7919 + j * j) % 100_003) for j in range(12))) for k in range(3000)]
     rows += [(3000, rows[5][1]), (None, rows[5][1]), (None, "w"), (7, rows[5][1])]
