@@ -106,6 +106,7 @@ def learn(rows: list[tuple[str, str]]) -> Model:
     three = c3 + 4 * two[None]
     three /= three.sum(axis=2, keepdims=True)
     three[:, :, 1] = three[:, :, 1].min()  # a strange letter tells nothing
+    three[:, 1, 0] = three[:, 1, 0].min()  # nor does a word's end after one
     return Model(languages, classes, np.log(three).reshape(_SIDE**3, -1).astype(np.float32))
 
 
