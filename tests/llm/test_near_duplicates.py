@@ -272,6 +272,24 @@ def _crowd(rng, n):
     return sorted(out)
 
 
+def test_shingles_and_parities_equal_plain_ones(spark):
+    rng = random.Random(8)
+    texts = ["abcde", "x" * 30, "\u0130stanbul \U0001f600 stra\u00dfe \u4e2d\u6587\u5b57 ABC", "".join(rng.choices("ab c\u00e9\U00010400", k=300))]
+    every = spark.createDataFrame(list(enumerate(texts)), "id long, line string").select("id", F.lower("line").alias("low"), lines._every("line").alias("h"))
+    for r in every.collect():
+        plain = [xxhash.xxh64_intdigest(r["low"][i : i + 5].encode("utf-32-be"), seed=42) for i in range(len(r["low"]) - 4)]
+        assert [h % (1 << 64) for h in r["h"]] == plain
+    sets = [[rng.getrandbits(64) - (1 << 63) for _ in range(n)] for n in (0, 1, 7, 400)]
+    looks = lines._parities(F.concat("h", F.array(F.lit(7).cast("long"))))
+    for r in spark.createDataFrame(list(enumerate(sets)), "id long, h array<long>").select("h", looks.alias("bits")).collect():
+        words = [0] * lines.WORDS
+        for h in [*r["h"], 7]:
+            words[h // 64 % lines.WORDS] ^= 1 << h % 64
+        assert [w % (1 << 64) for w in r["bits"]] == words
+    # the hashes are made once, and a shingle's place takes no arithmetic
+    assert str(looks).startswith("Column<'get(transform(array(concat(") and "*(" not in str(lines._every("line"))
+
+
 def test_what_remains_of_a_crowded_cell_loses_no_pair(spark):
     ls = _crowd(random.Random(12), 160)
     sets = [_shingles(x) for x in ls]
