@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from plumbline.llm import graph, lines, simhash
-from plumbline.llm.common import SHUFFLE_CLEANUP, Workspace
+from plumbline.llm.common import SHUFFLE_CLEANUP, SHUFFLE_PARTITIONS, Workspace
 from tests.conftest import DATA
 
 
@@ -323,6 +323,30 @@ def test_crowds_against_brute_force(spark):
     assert want <= kept and len(kept - want) <= 0.02 * len(ls)
 
 
+def test_ids_in_sequence_are_filtered_and_small_shuffles_have_few_partitions(spark):
+    names = [(part << 33) + k for part in range(8) for k in range(500)]
+    rows = spark.createDataFrame([(x, 2 if k % 100 == 0 else 1) for k, x in enumerate(names)], "id long, n long")
+    wanted = set(names[3:500:7])
+    ids = spark.createDataFrame([(x,) for x in wanted], "id long")
+    through = lambda *more: {r["id"] for r in lines._filtered(rows, "id", ids, F.xxhash64, *more).collect()}
+    # low bits of the ids are alike in every part, so that they alone would let 8 times as many through
+    assert wanted <= through() and len(through() - wanted) < 0.1 * len(names)
+    assert through() | set(names[::100]) == through(F.col("n") > 1)
+    ws, before = Workspace(spark), spark.conf.get(SHUFFLE_PARTITIONS)
+    inside = {}
+    for n in (0, 99, 100, 250, 10**9):
+        with ws.dealt(n, 100):
+            inside[n] = spark.conf.get(SHUFFLE_PARTITIONS)
+    assert list(inside.values()) == ["1", "1", "2", "3", before] and spark.conf.get(SHUFFLE_PARTITIONS) == before
+    spark.conf.set(SHUFFLE_PARTITIONS, "200")
+    try:
+        with ws.sorted_shuffles():
+            assert spark.conf.get(SHUFFLE_PARTITIONS) == "201"
+        assert spark.conf.get(SHUFFLE_PARTITIONS) == "200"
+    finally:
+        spark.conf.set(SHUFFLE_PARTITIONS, before)
+
+
 def test_line_edge_cases(spark):
     long = "this line is long enough to count as one"
     rows = [(5, None, "e"), (6, "", "e"), (1, f"{long}\n\nshort", "a"), (2, f"short\n{long}", "b"), (3, long, "c"), (3, long, "c"), (None, long, "d"), (7, " \n ", "e")]
